@@ -42,7 +42,8 @@ fielddecl <- (ids type / "*"? ID ("." ID)? ("[" type ("," type)* "]")? / "(" "*"
 interface <- "interface" "{" (element ";")* element? "}"
 element <- ID signature / constraint
 block <- "{" statements "}"
-statements <- (statement? ";")* statement?
+statements <- line* statement?
+line <- statement? ";"
 statement <- labeled / declaration / simple_or_other
 labeled <- ID ":" statement?
 simple_or_other <- "go" expr / "defer" expr / "return" exprs? / "break" ID? / "continue" ID? / "goto" ID / "fallthrough" / block / if / switch / select / for / simple
@@ -68,7 +69,7 @@ literaltype <- "struct" "{" (fielddecl ";")* fielddecl? "}" / "[" ("..." / expr)
 literalvalue <- "{" (keyed ("," keyed)* ","?)? ";"? "}"
 keyed <- (value ":")? value
 value <- literalvalue / expr
-suffix <- "." ID / "." "(" (type / "type") ")" / "[" (index) "]" / "(" (argument ("," argument)* "..."? ","?)? ")"
+suffix <- "." ID / "." "(" type ")" / "[" (index) "]" / "(" (argument ("," argument)* "..."? ","?)? ")"
 index <- expr? ":" expr? (":" expr)? / indexed ("," indexed)* ","?
 indexed <- expr &("," / "]") / type
 argument <- expr &("," / ")" / "...") / type
@@ -82,7 +83,7 @@ primary_h <- operand_h suffix*
 operand_h <- !ID literal / NUM / STR / CHAR / "func" signature block / conversion "(" expr ","? ")" / ID / "(" (expr / type) ")"
 """
 
-GO = Grammar(_TEXT + _HEADERS, CLASSES, cached={"block": "()", "statement": ";"})
+GO = Grammar(_TEXT + _HEADERS, CLASSES, cached={"block": "()", "line": ";"})
 
 LEXER = Lexer(
     KEYWORDS, OPERATORS, CLASSES,

@@ -22,7 +22,7 @@ CLASSES["ASSIGN"] = "".join(CLASSES[k] for k in "= += -= *= /= &= |= ^= %= <<=".
 CLASSES["BIN"] = "".join(CLASSES[k] for k in "&& || == != <= << + - * / & | ^ % <".split())
 
 GRAMMAR = r"""
-file <- annotations? package? (import / ";")* (type / ";")* / annotations? (import / ";")* "open"? "module" dotted "{" (directive)* "}"
+file <- annotations? package? (import / ";")* (type / ";")* !. / annotations? (import / ";")* "open"? "module" dotted "{" directive* "}"
 directive <- ("requires" ("transitive" / "static")* / "exports" / "opens" / "uses" / "provides") dotted (("to" / "with") dotted ("," dotted)*)? ";"
 package <- "package" dotted ";"
 import <- "import" "static"? dotted ("." "*")? ";"
@@ -100,7 +100,7 @@ primary <- NUM / STR / CHAR / "true" / "false" / "null" / "this" arguments? / "s
 creator <- annotations? typeargs? (PRIMITIVE / ref1 / NAME "<" ">") ((annotations? "[" expr "]")+ dims / dim1 dims arrayinit / arguments classbody?)
 """
 
-JAVA = Grammar(GRAMMAR, CLASSES, cached={"block": "()", "blockstatement": ";", "member": ";"})
+JAVA = Grammar(GRAMMAR, CLASSES, cached={"block": "()", "blockstatement": ";", "member": ";"}, reaching=CLASSES["if"])
 
 LEXER = Lexer(
     KEYWORDS, OPERATORS, CLASSES,

@@ -6,7 +6,7 @@ one character, so a file is a string and a rule maps a position to the end of it
 
 Rules are memoised by position. Parts without rule names become one regular expression with possessive operators,
 which has exactly the semantics of ordered choice. Statements and bracketed blocks are memoised across files as well:
-the result of a rule depends only on the characters it read, so a stretch that was matched as a whole once matches again.
+the result of a rule depends only on the characters it read, so a stretch that was matched as a whole, without a look beyond it, matches again.
 A second, slower build of the same grammar notes the furthest position that any terminal failed at.
 """
 
@@ -109,11 +109,12 @@ def _check(node: Node, rules: dict[str, Node]) -> None:
 
 
 class Grammar:
-    """A compiled grammar. `memo` names the rules worth memoising by position (all, if empty). `cached` maps rules to their closing character or, for rules that begin with a bracket, to its partner."""
+    """A compiled grammar. `reaching` holds tokens whose statements look beyond
+    their last character (an if may be followed by else): stretches with them are not remembered. `memo` names the rules worth memoising by position (all, if empty). `cached` maps rules to their closing character or, for rules that begin with a bracket, to its partner."""
 
-    def __init__(self, text: str, classes: dict[str, str], start: str = "file", cached: dict[str, str] | None = None, memo: tuple[str, ...] = ()) -> None:
+    def __init__(self, text: str, classes: dict[str, str], start: str = "file", cached: dict[str, str] | None = None, memo: tuple[str, ...] = (), reaching: str = "") -> None:
         self.rules = read(text, classes)
-        self.start, self.cached, self.memo = start, cached or {}, memo
+        self.start, self.cached, self.memo, self.reaching = start, cached or {}, memo, reaching
         self.names = {}
         for name, chars in classes.items():
             if len(chars) == 1:
@@ -220,7 +221,7 @@ class Grammar:
 
         if not close:
             return run
-        known = self.known[name]
+        known, reaching = self.known[name], self.reaching
 
         def remembered(s: str, p: int, memo: dict) -> int:
             if close == "()":
@@ -233,7 +234,7 @@ class Grammar:
             if piece in known:
                 return q + 1
             end = run(s, p, memo)
-            if end == q + 1 and (close == "()" or _balanced(piece)):
+            if end == q + 1 and not any(c in piece for c in reaching) and (close == "()" or _balanced(piece)):
                 if len(known) > REMEMBERED:
                     known.clear()
                 known.add(piece)

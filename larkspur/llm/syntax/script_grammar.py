@@ -32,11 +32,11 @@ statement_ <- skip statement
 eos <- ";" / MARK / &"}" / !.
 block <- "{" statement_* skip "}"
 statement <- block / var eos / function / "async" function / class / if / for / while / do / "continue" LABEL? eos / "break" LABEL? eos
-  / "return" expr? eos / "throw" expr eos / try / switch / "with" "(" expr ")" substatement / "debugger" eos / import / export
+  / "return" expr? eos / "throw" expr eos / try / switch / decorators export / "with" "(" expr ")" substatement / "debugger" eos / import / export
   / typed / LABEL ":" statement / !("{" / "function" / "class" / "async" "function") expr eos
 substatement <- statement / ";"
-typed <- "declare" (var eos / function / "abstract"? class / enum / namespace / interface / alias / "global" block / "async" function)
-  / "abstract" class / interface / alias / "const"? enum / namespace
+typed <- "declare" (var eos / function / "abstract"? class / "const"? enum / namespace / interface / alias / "global" block / "async" function)
+  / "global" block / "abstract" class / interface / alias / "const"? enum / namespace
 interface <- "interface" NAME typeparams? ("extends" typeref ("," typeref)*)? objecttype
 alias <- "type" NAME typeparams? "=" type eos
 enum <- "enum" NAME "{" (enumitem ("," enumitem)*)? ","? "}"
@@ -74,7 +74,7 @@ export <- "export" (
   / "import" NAME "=" expr eos / var eos / function / "async" function / decorators? class / typed)
 decorators <- (decorator MARK? ";"?)+
 decorator <- "@" (NAME / "(" expr ")") ("." WORD / call)*
-class <- decorators? "class" (!("extends" / "implements") NAME)? typeparams? ("extends" heritage)? ("implements" typeref ("," typeref)*)? classbody
+class <- decorators? "abstract"? "class" (!("extends" / "implements") NAME)? typeparams? ("extends" heritage)? ("implements" typeref ("," typeref)*)? classbody
 heritage <- primary (("." / "?.") WORD / call / "[" expr "]" / typeargs)*
 classbody <- "{" skip (member skip)* "}"
 member <- decorators? "static" block
@@ -87,17 +87,17 @@ expr <- assign ("," assign)*
 assign <- arrow / "yield" "*"? assign? / conditional (ASSIGN assign)?
 arrow <- "async"? (NAME / typeparams? params returns?) "=>" (block / !"{" assign)
 conditional <- binary ("?" assign ":" assign)?
-binary <- unary (("as" / "satisfies") (type / "const") / (BIN / ">" ">" ">" / ">" ">" / ">") unary)*
+binary <- unary (("as" / "satisfies") (type / "const") / (BIN / ">" ">" ">" / ">" ">" / ">") MARK? unary)*
 unary <- ("delete" / "void" / "typeof" / "await" / "++" / "--" / "+" / "-" / "!" / "~")* ("<" type ">" unary / "#" WORD &"in" / postfix)
 postfix <- primary tail* ("++" / "--")?
-tail <- ("." / "?.") "#"? WORD / "?."? "[" expr "]" / "?."? call / "!" !"=" / template / typeargs &("(" / "." / "?." / ")" / "]" / ":" / ";" / "," / TBEGIN / "}")
+tail <- ("." / "?.") "#"? WORD / ("?." / MARK &"[")? "[" expr "]" / "?."? call / "!" !"=" / template / typeargs &("(" / "." / "?." / ")" / "]" / ":" / ";" / "," / TBEGIN / "}")
 call <- typeargs? "(" (argument ("," argument)*)? ","? ")"
 argument <- "..."? assign
 primary <- "this" / "super" / "null" / "true" / "false" / NUM / STR / REGEX / template / array / object / "(" expr ")"
   / "async"? function / class / "new" ("." "target" / newtarget call?) / "import" ("." "meta" / "(" assign ("," assign)? ","? ")") / NAME
 newtarget <- (primary / "new" newtarget) (("." WORD) / "[" expr "]" / typeargs)*
 template <- TBEGIN piece? (TNEXT piece?)* TEND
-piece <- "..." assign / expr
+piece <- "..." assign / expr &(TNEXT / TEND) / type
 array <- "[" (argument? ",")* argument? "]"
 object <- "{" (entry ("," entry)*)? ","? "}"
 entry <- "..." assign / ("get" / "set") !(":" / "(" / "," / "}" / "<") key params returns? block / "async"? "*"? key typeparams? params returns? block
@@ -150,28 +150,28 @@ def _without_types(text: str) -> str:
 
 
 CLASSES["STATIC"], CLASSES["ASYNC"] = CLASSES["static"] + CLASSES["accessor"], CLASSES["async"]
-_CACHED = {"block": "()", "statement": ";", "entry": ",", "object": "()"}
-TYPESCRIPT = Grammar(GRAMMAR, CLASSES, cached=_CACHED)
-JAVASCRIPT = Grammar(_without_types(GRAMMAR), CLASSES, cached=_CACHED)
+_CACHED = {"block": "()", "statement": ";", "object": "()"}
+TYPESCRIPT = Grammar(GRAMMAR, CLASSES, cached=_CACHED, reaching=CLASSES["if"])
+JAVASCRIPT = Grammar(_without_types(GRAMMAR), CLASSES, cached=_CACHED, reaching=CLASSES["if"])
 
 _REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
-_BEFORE_REGEX = r"[=(,:\[!&|?{};+\-*%~^<>]"
+_BEFORE_REGEX = r"=>|\|\||&&|\?\?|[=(,:\[!&|?{};+\-*%~^<>]"
 _TEMPLATE = r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}`]*\})*\})*`"
 _WORDS = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4})(?:[\w$]|\\u[0-9a-fA-F]{4})*"
 LEXER = Lexer(
     KEYWORDS, [o for o in OPERATORS if o not in (">>>=", ">>=", ">=")] + [">>>=", ">>=", ">="], CLASSES,
-    literals=rf"(?:{_BEFORE_REGEX})[ \t]*{_REGEX}|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'|{_TEMPLATE}",
+    literals=rf"(?:{_BEFORE_REGEX})\s*{_REGEX}|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'|{_TEMPLATE}",
     numbers=r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?n?",
     words=_WORDS,
 )
-_SPLIT = re.compile(rf"(?s)({_BEFORE_REGEX})[ \t]*({_REGEX})\Z")
+_SPLIT = re.compile(rf"(?s)({_BEFORE_REGEX})\s*({_REGEX})\Z")
 _SUBST = re.compile(r"\\(?s:.)|\$\{((?:[^{}`]|\{[^{}`]*\})*)\}")
 _C = CLASSES
 #: Classes that may end a statement, and those that go on with the one before when they begin a line.
-_ENDS = set("INSRC)]»") | {_C[k] for k in [*SOFT, "this", "super", "null", "true", "false", "++", "--", "break", "continue", "return", "debugger"]}
+_ENDS = set("INSRC)]»") | {_C[k] for k in [*SOFT, "this", "super", "null", "true", "false", "void", "++", "--", "break", "continue", "return", "debugger"]}
 _ENDS -= {_C[k] for k in "async await as satisfies keyof infer is asserts unique declare abstract implements".split()}
 _GOES_ON = set(")],.?:}=<>|&^+-*/%([«") | {
-    _C[k] for k in "=== !== == != <= >= && || ?? ?. ** => << += -= *= /= %= &= |= ^= **= <<= >>= >>>= &&= ||= ??= in instanceof".split()
+    _C[k] for k in "=== !== == != <= >= && || ?? ?. ** => extends implements << += -= *= /= %= &= |= ^= **= <<= >>= >>>= &&= ||= ??= in instanceof".split()
 }
 _NO_MARK = {_C[k] for k in "else catch finally".split()}
 _RESTRICTED = {_C[k] for k in "return break continue throw yield".split()}
@@ -207,11 +207,13 @@ def _line_ends(tokens: list[str]) -> str:
         if waiting:
             waiting = False
             head = c[0]
-            if last == "}":
-                if head not in _GOES_ON and head not in _NO_MARK:
+            if last in ("}", ">"):
+                if (last == "}" or head != "{") and head not in _GOES_ON and head not in _NO_MARK:
                     add("\n")
-            elif last in _RESTRICTED or (last in _ENDS and (head not in _GOES_ON or head in (_C["++"], _C["--"]))):
-                if head in "};" or (head == "{" and last not in _RESTRICTED) or (last == ")" and _is_head(out)):
+            elif last in _RESTRICTED or (last in _ENDS and (head not in _GOES_ON or head == "[" or head in (_C["++"], _C["--"]))):
+                if head == "[":
+                    add("\n")
+                elif head in "};" or (head == "{" and last not in _RESTRICTED) or (last == ")" and _is_head(out)):
                     pass
                 else:
                     add(";")
@@ -242,54 +244,92 @@ _JSX_WORD = re.compile(r"[A-Za-z_$][\w$:.-]*")
 _JSX_SPACE = re.compile(r"(?:\s|/\*(?s:.*?)\*/|//[^\n]*\n)*")
 
 
+_REGEX_AT = re.compile(_REGEX)
+#: Classes after which a slash begins a regular expression.
+_REGEX_AFTER = set("\n=(,:[!&|?{};+-*%~^<>\x00") | {
+    _C[k] for k in "=> && || ?? === !== == != <= >= return typeof case in of delete void throw new else do await yield default instanceof".split()
+}
+_KEYWORD_SLASH = re.compile("[" + "".join(_C[k] for k in "return typeof case in of delete void throw new else do await yield default instanceof".split()) + "][/]")
+
+
 def lex(text: str, dialect: str = "tsx") -> str:
-    """The class string of a file; `dialect` is ts (no JSX) or tsx (with JSX, also for JavaScript)."""
+    """The class string of a file; `dialect` is ts (no markup) or tsx (with markup).
+
+    Texts without markup, nested templates and regular expressions after keywords take the fast way; others are scanned with state.
+    """
     mark = ""
     if text.startswith("#!"):
         text, mark = text.partition("\n")[2], "H"
-    if "`" in text:
-        text = _inner_templates(text)
-    if dialect != "ts" and _MARKUP.search(text):
-        return mark + _line_ends(_with_markup(text))
-    return mark + _line_ends(LEXER.tokens(text))
-
-
-def _inner_templates(text: str) -> str:
-    """Templates inside the expressions of other templates become plain strings, from the inside out."""
-    for _ in range(8):
-        tokens = LEXER.master.findall(text)
-        if "`" not in tokens:
-            return text
-        new = re.sub(rf"(\$\{{[^`{{}}]*)({_TEMPLATE})(?=[^`]*\}})", lambda m: m[1] + '""' + "".join(f"+({p[1]})" for p in _SUBST.finditer(m[2]) if p[1]), text)
-        if new == text:
-            return text
-        text = new
-    return text
-
-
-def _with_markup(text: str) -> list[str]:
+    markup = dialect != "ts" and bool(_MARKUP.search(text))
+    if not markup:
+        tokens = LEXER.tokens(text)
+        s = _line_ends(tokens)
+        if not ("`" in text and "\x00" in s) and not _KEYWORD_SLASH.search(s):
+            return mark + s
+    return mark + _line_ends(_scan(text, 0, markup)[0])
+
+
+def _scan(text: str, pos: int, markup: bool, inside: bool = False) -> tuple[list[str], int]:
+    """The classes from pos on and the end; `inside` stops after the brace that closes the one at pos (-1 if there is none)."""
     out: list[str] = []
-    last, pos, n = "\n", 0, len(text)
+    last, n, depth = "\n", len(text), 0
     match = LEXER.master.match
     while pos < n:
         m = match(text, pos)
-        token = m[1]
-        if token == "<" and last in _JSX_START and _TAG.match(text, m.start(1)):
-            pieces, end = _element(text, m.start(1))
-            if end > 0:
-                out.append("«" + "¦".join(pieces) + "»")
-                last, pos = "»", end
+        token, at = m[1], m.start(1)
+        pieces, end = None, -1
+        if token[:1] == "`":
+            pieces, end = _template(text, at, markup)
+        elif markup and token == "<" and last in _JSX_START and _TAG.match(text, at):
+            pieces, end = _element(text, at, markup)
+        if end > 0:
+            out.append("«" + "¦".join(pieces) + "»")
+            last, pos = "»", end
+            continue
+        if token in ("/", "/=") and last in _REGEX_AFTER:
+            r = _REGEX_AT.match(text, at)
+            if r:
+                out.append("R")
+                last, pos = "R", r.end()
                 continue
-        c = _of(token)
-        # a regular expression that was read after an operator may hide markup: only the operator is taken
+        c = "\x00" if token[:1] == "`" else _of(token)
+        pos = (at + 1 if token[:1] == "`" else m.end()) if m.end() > pos else pos + 1
+        if inside and c:
+            if c[0] == "{":
+                depth += 1
+                if depth == 1 and len(c) == 1:
+                    last = "{"
+                    continue
+                c = c[1:] if depth == 1 else c
+            elif c == "}":
+                depth -= 1
+                if depth == 0:
+                    return out, pos
         if c:
             out.append(c)
             last = c[-1] if c != "\n" else last
-        pos = m.end() if m.end() > pos else pos + 1
-    return out
+    return out, -1 if inside else pos
+
 
+def _template(text: str, pos: int, markup: bool) -> tuple[list[str], int]:
+    """The expressions in a template that begins at pos and its end, or -1."""
+    pieces: list[str] = []
+    at = pos + 1
+    stop = re.compile(r"\\\\|`|\$\{")
+    while m := stop.search(text, at):
+        if m[0] == "`":
+            return pieces, m.end()
+        if m[0] == "\\":
+            at = m.end() + 1
+            continue
+        inner, at = _braces(text, m.end() - 1, markup)
+        if at < 0:
+            return pieces, -1
+        pieces.append(inner)
+    return pieces, -1
 
-def _element(text: str, pos: int) -> tuple[list[str], int]:
+
+def _element(text: str, pos: int, markup: bool = True) -> tuple[list[str], int]:
     """The expressions in an element that begins at pos and its end, or -1."""
     pieces: list[str] = []
     m = _TAG.match(text, pos)
@@ -305,7 +345,7 @@ def _element(text: str, pos: int) -> tuple[list[str], int]:
             pos += 1
             break
         if c == "{":
-            inner, pos = _braces(text, pos)
+            inner, pos = _braces(text, pos, markup)
             if pos < 0:
                 return pieces, -1
             pieces.append(inner)
@@ -322,12 +362,12 @@ def _element(text: str, pos: int) -> tuple[list[str], int]:
                 if pos <= 0:
                     return pieces, -1
             elif q == "{":
-                inner, pos = _braces(text, pos)
+                inner, pos = _braces(text, pos, markup)
                 if pos < 0:
                     return pieces, -1
                 pieces.append(inner)
             else:
-                more, pos = _element(text, pos)
+                more, pos = _element(text, pos, markup)
                 if pos < 0:
                     return pieces, -1
                 pieces += more
@@ -336,7 +376,7 @@ def _element(text: str, pos: int) -> tuple[list[str], int]:
         pos = m2.end()
         c = text[pos : pos + 1]
         if c == "{":
-            inner, pos = _braces(text, pos)
+            inner, pos = _braces(text, pos, markup)
             if pos < 0:
                 return pieces, -1
             pieces.append(inner)
@@ -346,7 +386,7 @@ def _element(text: str, pos: int) -> tuple[list[str], int]:
                 return pieces, -1
             return pieces, m3.end()
         elif c == "<":
-            more, pos = _element(text, pos)
+            more, pos = _element(text, pos, markup)
             if pos < 0:
                 return pieces, -1
             pieces += more
@@ -354,31 +394,7 @@ def _element(text: str, pos: int) -> tuple[list[str], int]:
             return pieces, -1
 
 
-def _braces(text: str, pos: int) -> tuple[str, int]:
+def _braces(text: str, pos: int, markup: bool) -> tuple[str, int]:
     """The classes between the brace at pos and its partner, and the end."""
-    out: list[str] = []
-    depth, last, at = 0, "{", pos
-    match = LEXER.master.match
-    while at < len(text):
-        m = match(text, at)
-        token = m[1]
-        if token == "<" and last in _JSX_START and _TAG.match(text, m.start(1)):
-            pieces, end = _element(text, m.start(1))
-            if end > 0:
-                out.append("«" + "¦".join(pieces) + "»")
-                last, at = "»", end
-                continue
-        c = _of(token)
-        at = m.end() if m.end() > at else at + 1
-        if c == "{":
-            depth += 1
-            if depth == 1:
-                continue
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return _line_ends(out), at
-        if c:
-            out.append(c)
-            last = c[-1] if c != "\n" else last
-    return "", -1
+    out, end = _scan(text, pos, markup, True)
+    return _line_ends(out), end
