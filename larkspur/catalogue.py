@@ -508,56 +508,56 @@ def ai_merge_leaders(spark: SparkSession, d: str) -> DataFrame:
   coalesce(cast(quantile_disc(latency_ms, 0.5) filter (where status = 'ok') as bigint), 0) as p50, coalesce(cast(quantile_disc(latency_ms, 0.95) filter (where status = 'ok') as bigint), 0) as p95,
   count(distinct (repository, file_path)) filter (where status in ('ok', 'rejected', 'unavailable', 'rate_limited')) as n_files from m group by 1""")
 def provider_usage(spark: SparkSession, d: str) -> DataFrame:
-    return calls.provider_usage(V.calls(spark, d))
+    return calls.provider_usage(V.calls(spark, d, "provider", "status", "latency_ms", "repository", "file_path"))
 
 
 @query("with " + _CALLS + """, o as (select provider, status, count(*) as n from c where status not in ('ok', 'cached') group by 1, 2), s as (select provider, string_agg(status || ':' || n, ' ' order by status) as other from o group by 1),
 a as (select provider, count(*) filter (where status in ('ok', 'cached')) as answered, cast(coalesce(sum(input_tokens) filter (where status in ('ok', 'cached')), 0) as bigint) as input_tokens, cast(coalesce(sum(output_tokens) filter (where status in ('ok', 'cached')), 0) as bigint) as output_tokens from c group by 1)
 select a.provider, answered, input_tokens, output_tokens, coalesce(other, '') as other from a left join s on s.provider is not distinct from a.provider""")
 def provenance_table(spark: SparkSession, d: str) -> DataFrame:
-    return calls.provenance(V.calls(spark, d))
+    return calls.provenance(V.calls(spark, d, "provider", "status", "input_tokens", "output_tokens"))
 
 
 @query("with " + _CALLS + " select count(*) as n_calls, count(*) filter (where status = 'ok') as answered, count(*) filter (where status in ('rejected', 'unavailable', 'rate_limited')) as fell_through, count(distinct provider) as providers, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens from c")
 def model_totals(spark: SparkSession, d: str) -> DataFrame:
-    return calls.totals(V.calls(spark, d))
+    return calls.totals(V.calls(spark, d, "provider", "status", "input_tokens", "output_tokens"))
 
 
 @query("with " + _CALLS + """, k as (select * from c where status = 'ok' and latency_ms is not null) select provider, count(*) as n, cast(quantile_disc(latency_ms, 0.95) as bigint) as p95_nearest, round(quantile_cont(latency_ms, 0.95), 6) as p95_linear,
   round(cast(median(latency_ms) as double), 6) as median_mean, list_sort(list(latency_ms))[count(*) // 2 + 1] as median_upper from k group by 1""")
 def order_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return calls.order_statistics(V.calls(spark, d))
+    return calls.order_statistics(V.calls(spark, d, "provider", "status", "latency_ms"))
 
 
 @query("with " + _CALLS + " select provider, " + ", ".join(f"count(*) filter (where status = '{s}') as {s}" for s in ("ok", "cached", "rejected", "unavailable", "rate_limited", "skipped")) + " from c group by 1")
 def call_status_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return calls.status_pivot(V.calls(spark, d))
+    return calls.status_pivot(V.calls(spark, d, "provider", "status"))
 
 
 @query("with " + _CALLS + " select provider, count(*) as n_all, count(*) filter (where task <> 'verify') as n_unverified, cast(sum(coalesce(output_tokens, 0)) as bigint) as tokens_all, cast(coalesce(sum(coalesce(output_tokens, 0)) filter (where task <> 'verify'), 0) as bigint) as tokens_unverified from c where status = 'ok' group by 1")
 def cost_by_task(spark: SparkSession, d: str) -> DataFrame:
-    return calls.cost_by_task(V.calls(spark, d))
+    return calls.cost_by_task(V.calls(spark, d, "provider", "status", "task", "output_tokens"))
 
 
 @query("with " + _CALLS + """, s as (select provider, cast(epoch(date_trunc('second', called_at)) as bigint) as sec, count(*) as n from c where called_at is not null and status <> 'skipped' group by 1, 2),
 w as (select provider, sum(n) over (partition by provider order by sec range between 59 preceding and current row) as k from s) select provider, cast(max(k) as bigint) as busiest from w group by 1""")
 def observed_rate_window(spark: SparkSession, d: str) -> DataFrame:
-    return calls.observed_rate(V.calls(spark, d))
+    return calls.observed_rate(V.calls(spark, d, "provider", "status", "called_at"))
 
 
 @query("with " + _CALLS + ", k as (select provider, task, model, repository, file_path, count(*) as n from c where file_path is not null group by 1, 2, 3, 4, 5) select provider, cast(sum(n) as bigint) as n_calls, count(*) as n_keys, cast(sum(n - 1) as bigint) as n_repeats from k group by 1")
 def cache_key_hits(spark: SparkSession, d: str) -> DataFrame:
-    return calls.cache_hits(V.calls(spark, d))
+    return calls.cache_hits(V.calls(spark, d, "provider", "task", "model", "repository", "file_path"))
 
 
 @query("with " + _CALLS + ", k as (select provider, call_id, status, cast(row_number() over (partition by provider order by called_at desc, call_id desc) as int) as k from c) select provider, k, call_id, status from k where k <= 14")
 def last_calls(spark: SparkSession, d: str) -> DataFrame:
-    return calls.last_calls(V.calls(spark, d))
+    return calls.last_calls(V.calls(spark, d, "provider", "status", "called_at"))
 
 
 @query("with " + _CALLS + ", k as (select task, count(*) as n, quantile_cont(latency_ms, 0.5) as a, quantile_cont(latency_ms, 0.95) as b from c where status = 'ok' and latency_ms > 0 group by 1) select task, n, cast(round_even(a, 0) as bigint) as p50, cast(round_even(b, 0) as bigint) as p95, round(60000.0 / a, 6) as per_minute from k")
 def latency_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return calls.latency_benchmark(V.calls(spark, d))
+    return calls.latency_benchmark(V.calls(spark, d, "task", "status", "latency_ms"))
 
 
 @query("select t.task, cast(list_position((select list(provider order by provider) from provider_status), provider) - 1 as int) as pos, provider, is_external from (values ('review'), ('verify')) t(task), provider_status where breaker_state <> 'open'")
@@ -580,27 +580,27 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def limiter_slots(spark: SparkSession, d: str) -> DataFrame:
-    return routing.limiter_slots(V.calls(spark, d))
+    return routing.limiter_slots(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
 @query()
 def token_bucket_levels(spark: SparkSession, d: str) -> DataFrame:
-    return routing.token_bucket(V.calls(spark, d))
+    return routing.token_bucket(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
 @query()
 def breaker_states(spark: SparkSession, d: str) -> DataFrame:
-    return routing.breaker_states(V.calls(spark, d))
+    return routing.breaker_states(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
 @query()
 def lru_hits(spark: SparkSession, d: str) -> DataFrame:
-    return routing.lru_hits(V.calls(spark, d))
+    return routing.lru_hits(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
 @query()
 def routing_simulation(spark: SparkSession, d: str) -> DataFrame:
-    return routing.simulate_routing(V.calls(spark, d))
+    return routing.simulate_routing(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
 # -- raters -----------------------------------------------------------------------------------------------------

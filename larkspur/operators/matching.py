@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
+from larkspur.plans.durable import grouped
 
 FILE = ("repository", "file_path")
 #: Lines by which a prediction may miss a label (a fixed value), and lines per cell of the bucketed join.
@@ -64,7 +63,7 @@ def found_labels(predictions: DataFrame, labels: DataFrame, by_category: bool =
             augment(label, set())
         return pd.DataFrame({"label_id": list(taken.values()), "finding_id": list(taken)}, columns=["label_id", "finding_id"])
 
-    return edges.groupBy(*FILE).applyInPandas(run, "label_id string, finding_id bigint")
+    return grouped(edges, list(FILE), run, "label_id string, finding_id bigint")
 
 
 def counts(matched: Column, predicted: Column, correct: Column, labels: Column) -> list[Column]:
@@ -108,19 +107,18 @@ def leader_clusters(findings: DataFrame) -> DataFrame:
     """
     rows = findings.select("finding_id", *FILE, "category", "start_line", F.coalesce("end_line", "start_line").alias("end_line")).filter("start_line is not null")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows_ = pd.concat(list(batches)).sort_values("finding_id")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         leaders: list[tuple[int, int, int]] = []
         out = []
-        for r in rows_.itertuples(index=False):
+        for r in group.sort_values("finding_id").itertuples(index=False):
             lead = next((k for k, s, e in leaders if s <= r.end_line and r.start_line <= e), None)
             if lead is None:
                 leaders.append((r.finding_id, r.start_line, r.end_line))
                 lead = r.finding_id
             out.append((r.finding_id, lead))
-        yield pd.DataFrame(out, columns=["finding_id", "leader_id"])
+        return pd.DataFrame(out, columns=["finding_id", "leader_id"])
 
-    return rows.groupBy(*FILE, "category").applyInPandas(lambda k, b: pd.concat(list(run(k, iter([b])))), "finding_id bigint, leader_id bigint")
+    return grouped(rows, [*FILE, "category"], run, "finding_id bigint, leader_id bigint")
 
 
 def review_plan(chunks: DataFrame, findings: DataFrame, budget: int = 60) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.plans.durable import grouped
+
 KEYS = ["provider", "day"]
 
 
@@ -38,7 +40,7 @@ def limiter_slots(calls: DataFrame, limit: int = 30, window: float = 60.0) -> Da
         rows["wait"] = rows["slot"] - rows["at"]
         return rows[["call_id", "provider", "day", "slot", "wait"]]
 
-    return _timed(calls).groupBy(*KEYS).applyInPandas(run, "call_id bigint, provider string, day string, slot double, wait double")
+    return grouped(_timed(calls), KEYS, run, "call_id bigint, provider string, day string, slot double, wait double")
 
 
 def token_bucket(calls: DataFrame, capacity: float = 200_000.0, rate: float = 40_000 / 60) -> DataFrame:
@@ -55,7 +57,7 @@ def token_bucket(calls: DataFrame, capacity: float = 200_000.0, rate: float = 40
         rows["level"] = out
         return rows[["call_id", "provider", "day", "level"]]
 
-    return _timed(calls).groupBy(*KEYS).applyInPandas(run, "call_id bigint, provider string, day string, level double")
+    return grouped(_timed(calls), KEYS, run, "call_id bigint, provider string, day string, level double")
 
 
 class Breaker:
@@ -103,7 +105,7 @@ def breaker_states(calls: DataFrame) -> DataFrame:
         rows["state"] = out
         return rows[["call_id", "provider", "day", "state"]]
 
-    return _timed(calls).groupBy(*KEYS).applyInPandas(run, "call_id bigint, provider string, day string, state string")
+    return grouped(_timed(calls), KEYS, run, "call_id bigint, provider string, day string, state string")
 
 
 def lru_hits(calls: DataFrame, entries: int = 512) -> DataFrame:
@@ -123,7 +125,7 @@ def lru_hits(calls: DataFrame, entries: int = 512) -> DataFrame:
                     cache.popitem(last=False)
         return pd.DataFrame([(rows["provider"].iloc[0], rows["day"].iloc[0], len(rows), hits)], columns=["provider", "day", "n_calls", "n_hits"])
 
-    return _timed(calls).groupBy(*KEYS).applyInPandas(run, "provider string, day string, n_calls bigint, n_hits bigint")
+    return grouped(_timed(calls), KEYS, run, "provider string, day string, n_calls bigint, n_hits bigint")
 
 
 def simulate_routing(calls: DataFrame, limit: int = 30, window: float = 60.0) -> DataFrame:
@@ -162,4 +164,4 @@ def simulate_routing(calls: DataFrame, limit: int = 30, window: float = 60.0) ->
             out.append((rows["day"].iloc[0], strategy, completed, limited, fell, (end - start) / 60))
         return pd.DataFrame(out, columns=["day", "strategy", "completed", "limited", "fallback", "minutes"])
 
-    return _timed(calls).groupBy("day").applyInPandas(run, "day string, strategy string, completed bigint, limited bigint, fallback bigint, minutes double")
+    return grouped(_timed(calls), ["day"], run, "day string, strategy string, completed bigint, limited bigint, fallback bigint, minutes double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
+from larkspur.plans.durable import checkpoint, small
 
 
 def line_statistics(lines: DataFrame) -> DataFrame:
@@ -104,14 +105,20 @@ def candidate_values(text: Column) -> Column:
 
 def sensitive_lines(lines: DataFrame, secret_lines: DataFrame, secret_hashes: DataFrame) -> DataFrame:
     """Lines that were reported, or of which a value's digest is known."""
-    values = lines.withColumn("v", F.explode(candidate_values(F.col("text")))).withColumn("sha1", F.sha1("v"))
-    known = values.join(secret_hashes.select("sha1").distinct(), "sha1", "left_semi").select("file_id", "line_no")
+    known = _known_values(lines.select("file_id", "line_no", "text"), secret_hashes).select("file_id", "line_no")
     return known.unionByName(secret_lines.select("file_id", "line_no")).distinct()
 
 
+def _known_values(lines: DataFrame, secret_hashes: DataFrame) -> DataFrame:
+    """Adds `v`, one row per value of a line whose digest is known. The digests are sent to all tasks if they are few by count, so that lines are not shuffled."""
+    hashes = checkpoint(secret_hashes.select("sha1").distinct())
+    values = lines.withColumn("v", F.explode(candidate_values(F.col("text")))).withColumn("sha1", F.sha1("v"))
+    return values.join(small(hashes, hashes.count()), "sha1", "left_semi").drop("sha1")
+
+
 def mask_values(lines: DataFrame, secret_hashes: DataFrame) -> DataFrame:
     """(file_id, line_no, masked): known values become numbered placeholders, numbered per file by first use, the longest first within a line."""
-    values = lines.withColumn("v", F.explode(candidate_values(F.col("text")))).join(secret_hashes.select("sha1").distinct(), F.sha1("v") == F.col("sha1"))
+    values = checkpoint(_known_values(lines.select("file_id", "line_no", "text"), secret_hashes))
     first = values.groupBy("file_id", "v").agg(F.min("line_no").alias("at"))
     w = Window.partitionBy("file_id").orderBy("at", F.desc(F.length("v")), "v")
     number = first.withColumn("n", F.row_number().over(w)).select("file_id", "v", "n")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def running_start(df: DataFrame, keys: list[str], piece: str, order: list[str],
     starts = sizes.select(*keys, piece, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     local = df.withColumn("_local", F.coalesce(F.sum(measure).over(inside), F.lit(0)))
     return local.join(starts, [*keys, piece]).withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_start", "_local")
+
+
+def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`fold` on the rows of each key, streamed: rows are sorted by key within partitions, and a key's rows are passed on when the next key begins.
+
+    One Python call handles many small keys of a batch, which a grouped map pays for one by one.
+    """
+    columns = list(df.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            change = pd.Series(False, index=rows.index)
+            for k in keys:
+                change |= rows[k].ne(rows[k].shift()) & ~(rows[k].isna() & rows[k].shift().isna())
+            starts = [*rows.index[change.to_numpy()], len(rows)]
+            if starts[0] != 0:
+                starts.insert(0, 0)
+            done = [fold(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts[:-2], starts[1:-1])]
+            rest = rows.iloc[starts[-2] :].reset_index(drop=True)
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if rest is not None:
+            yield fold(rest[columns])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

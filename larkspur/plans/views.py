@@ -13,7 +13,7 @@ from larkspur.plans.durable import table
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """One row per finding_id (the latest loaded), sources and confidence normalised, with sev_rank and ord."""
     raw = table(spark, d, "findings").filter("finding_id is not null")
-    fields = [c for c in raw.columns if c not in ("finding_id", "loaded_at")]
+    fields = [c for c in raw.columns if c not in ("finding_id", "loaded_at", "verified_by", "rationale", "ai_note")]
     rows = raw.groupBy("finding_id").agg(F.max_by(F.struct(*fields), "loaded_at").alias("r")).select("finding_id", "r.*")
     names = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
     confidence = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
@@ -26,7 +26,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 def files(spark: SparkSession, d: str) -> DataFrame:
     """The latest version of every file by repository and path."""
     raw = table(spark, d, "source_files").filter("repository is not null and file_path is not null")
-    fields = [c for c in raw.columns if c not in ("repository", "file_path")]
+    fields = [c for c in raw.columns if c not in ("repository", "file_path", "content", "partial_regions")]  # contents are read by `lines`
     order = F.struct("ingested_at", "file_id")
     return raw.groupBy("repository", "file_path").agg(F.max_by(F.struct(*fields), order).alias("r")).select("repository", "file_path", "r.*")
 
@@ -43,12 +43,15 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return raw.groupBy("chunk_id").agg(F.max(F.struct(*[c for c in raw.columns if c != "chunk_id"])).alias("r")).select("chunk_id", "r.*")
 
 
-def calls(spark: SparkSession, d: str) -> DataFrame:
-    """One row per call_id (the latest logged), models without case and outer blanks."""
+def calls(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    """One row per call_id (the latest logged) with the given fields (all by default), models without case and outer blanks.
+
+    The fields travel through an aggregate as one struct, which hides them from column pruning: name those that are needed.
+    """
     raw = table(spark, d, "calls").filter("call_id is not null")
-    fields = [c for c in raw.columns if c not in ("call_id", "logged_at")]
-    rows = raw.groupBy("call_id").agg(F.max_by(F.struct(*fields), "logged_at").alias("r")).select("call_id", "r.*")
-    return rows.withColumn("model", F.lower(F.trim("model")))
+    kept = list(fields) or [c for c in raw.columns if c not in ("call_id", "logged_at")]
+    rows = raw.groupBy("call_id").agg(F.max(F.struct("logged_at", *kept)).alias("r")).select("call_id", *[F.col(f"r.{c}") for c in kept])
+    return rows.withColumn("model", F.lower(F.trim("model"))) if "model" in kept else rows
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
