@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from larkspur import domain as D
 from larkspur.functions import columns as C
-from larkspur.operators import agreement, calls, matching, routing, texts
+from larkspur.operators import agreement, calls, matching, reports, routing, texts
 from larkspur.operators import findings as fnd
 from larkspur.plans import views as V
 from larkspur.plans.durable import table
-from larkspur.sources import tools
+from larkspur.sources import plugins, tools
 from larkspur.streaming import log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -657,3 +657,98 @@ def terminal_event_check(spark: SparkSession, d: str) -> DataFrame:
 @query("with " + _EVENTS + ", l as (select scan_id, max(ts) as last_ts from ev group by 1) select * from l where last_ts < timestamp '2024-01-31 00:00:00' - interval 24 hours")
 def retention_expired(spark: SparkSession, d: str) -> DataFrame:
     return log.expired(V.events(spark, d), "2024-01-31 00:00:00")
+
+
+# -- reports and helpers ----------------------------------------------------------------------------------------
+
+
+@query("with " + _FILES + """, n as (select repository, coalesce(file_language, 'unknown') as l, count(*) as n from files group by 1, 2)
+select repository, cast(sum(n) as varchar) || case when sum(n) = 1 then ' file: ' else ' files: ' end || string_agg(l || ' ' || n, ', ' order by n desc, l) as description from n group by 1""")
+def project_description(spark: SparkSession, d: str) -> DataFrame:
+    return reports.project_description(V.files(spark, d))
+
+
+@query(_F + ", " + _FILES + """, n as (select repository, """ + ", ".join(f"count(*) filter (where severity = '{s}') as {s}" for s in ("critical", "high", "medium", "low", "info")) + """, count(*) as n_reported from r group by 1),
+s as (select repository, count(*) as n_files, sum(coalesce(line_count, 0)) / 1000.0 as k from files group by 1)
+select repository, n_files, round(cast(k as double), 6) as kloc, """ + ", ".join(f"coalesce({s}, 0) as {s}" for s in ("critical", "high", "medium", "low", "info")) + ", coalesce(n_reported, 0) as n_reported, round(coalesce(n_reported, 0) / nullif(cast(k as double), 0), 6) as per_kloc from s left join n using (repository)")
+def repository_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.repository_summary(V.findings(spark, d), V.files(spark, d))
+
+
+@query(_F + " select repository, " + ", ".join(f"count(*) filter (where category = '{c}') as {c}" for c in ("bug", "documentation", "maintainability", "performance", "security", "style", "typing")) + " from r group by 1")
+def category_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return reports.category_pivot(V.findings(spark, d))
+
+
+@query(_F + " select rule_id from f where rule_id is not null and severity is not null group by 1 having count(distinct severity) = (select count(distinct severity) from f)")
+def rules_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    return reports.everywhere(V.findings(spark, d))
+
+
+@query("with " + _EVENTS + """, t as (select scan_id, id, case when kind = 'stage' then 'stage ' || key when kind = 'tool' and key % 2 = 1 then 'tool done in ' || case when floor(value * 100) < 1000 then cast(cast(floor(value * 100) as bigint) as varchar) || ' ms' else (cast(floor(value * 100) as bigint) + 50) // 100 // 10 || '.' || (cast(floor(value * 100) as bigint) + 50) // 100 % 10 || ' s' end
+  when kind = 'finding' then 'finding' when kind = 'llm_call' then 'model call ' || key when kind = 'status' then 'status' end as text from ev) select * from t where text is not null""")
+def activity_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.activity_lines(V.events(spark, d))
+
+
+@query("with " + _EVENTS + " select scan_id, least(100.0, round((count(*) filter (where kind = 'stage') + case when arg_max(kind, id) <> 'status' then 0.5 else 0 end) * 100 / 6, 6))::double as percent from ev group by 1")
+def scan_progress(spark: SparkSession, d: str) -> DataFrame:
+    return reports.progress(V.events(spark, d))
+
+
+@query()
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    return reports.report_json(V.findings(spark, d), V.files(spark, d))
+
+
+@query("""select event_id, case when s < 60 then 'just now' when s < 3600 then cast(s // 60 as varchar) || ' min ago' when s < 86400 then cast(s // 3600 as varchar) || ' h ago' else strftime(ts, '%Y-%m-%d') end as ago
+from (select event_id, ts, cast(floor(epoch(timestamp '2024-01-31 00:00:00')) - floor(epoch(ts)) as bigint) as s from events)""")
+def time_ago(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", C.time_ago(F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).alias("ago"))
+
+
+@query("select event_id, event_id % 4 in (0, 1, 3) as loopback, greatest(0, value - 50) as wait, case when event_id % 2 = 0 then event_id else 0 end as used from events")
+def request_helpers(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.col("event_id") % 4
+    url = F.when(k == 0, "http://localhost:11434/v1").when(k == 1, "http://u:p@127.0.0.1/x").when(k == 2, "https://localhost.example.com/").otherwise("http://[::1]:80/")
+    counted = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.lit("-3"))
+    return e.select("event_id", C.is_loopback(url).alias("loopback"), C.retry_after((F.col("value") - 50).cast("string"), F.col("ts")).alias("wait"), C.usage_count(counted).alias("used"))
+
+
+@query("select event_id, strftime(((date_trunc('day', ts at time zone 'UTC' at time zone 'America/Los_Angeles') + interval 1 day) at time zone 'America/Los_Angeles') at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as reset from events")
+def quota_reset(spark: SparkSession, d: str) -> DataFrame:
+    at = C.next_quota_reset(F.to_utc_timestamp(F.col("ts").cast("timestamp"), spark.conf.get("spark.sql.session.timeZone")))
+    shown = F.from_utc_timestamp(at, spark.conf.get("spark.sql.session.timeZone"))
+    return table(spark, d, "events").select("event_id", F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("reset"))
+
+
+@query(_F + " select finding_id, case when category not in ('style', 'maintainability') then 'category' when sev_rank > 2 then 'severity' end as off_style, case when category = 'style' then 'category' end as off_review from f")
+def off_task(spark: SparkSession, d: str) -> DataFrame:
+    f = V.findings(spark, d)
+    return f.select("finding_id", C.off_task(F.col("category"), F.col("severity"), "style").alias("off_style"), C.off_task(F.col("category"), F.col("severity"), "review").alias("off_review"))
+
+
+@query()
+def grounding(spark: SparkSession, d: str) -> DataFrame:
+    body = table(spark, d, "source_files").filter("content is not null").groupBy("repository", "file_path").agg(F.max_by("content", F.struct("ingested_at", "file_id")).alias("content"))
+    f = V.findings(spark, d).filter("start_line is not null").select("finding_id", "repository", "file_path", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "evidence")
+    rows = f.join(body, ["repository", "file_path"]).withColumn("lines", C.split_lines(F.col("content")))
+    return rows.select("finding_id", C.ungrounded(F.col("lines"), F.col("start_line"), F.col("end_line"), F.lit(1), F.size("lines"), F.col("evidence")).alias("reason"))
+
+
+@query("with " + _LINES + " select repository, file_path, cast(line_no as int) as start_line from lines where regexp_matches(text, '^\\s*(#|//|\\*)') and contains(text, 'TODO') and regexp_matches(lower(file_path), '(\\.py|\\.js|\\.ts|\\.tsx|\\.go|\\.java)$')")
+def analyser_plugin(spark: SparkSession, d: str) -> DataFrame:
+    return plugins.run_analysers(table(spark, d, "source_files"), plugins.TodoComments()).select("repository", "file_path", "start_line")
+
+
+@query("select doc_id, case when text is not null then 'len ' || length(text) end as answer from documents")
+def mock_responder(spark: SparkSession, d: str) -> DataFrame:
+    return plugins.respond(table(spark, d, "documents").select("doc_id", "text"), lambda p: f"len {len(p)}", "text").select("doc_id", "answer")
+
+
+@query(_F + " select finding_id, row_number() over (order by sev_rank desc, file_path, start_line nulls first, coalesce(rule_id, ''), ord) as place from f qualify place <= 1000")
+def canonical_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first thousand in report order: an ordered limit, then numbered."""
+    first = V.findings(spark, d).orderBy(*fnd.canonical_order()).limit(1000)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*fnd.canonical_order()))).select("finding_id", F.col("place").cast("bigint").alias("place"))

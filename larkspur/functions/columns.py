@@ -277,3 +277,71 @@ def http_outcome(code: Column) -> Column:
 def estimated_tokens(text: Column, budget: Column) -> Column:
     """A character count over 3.5, rounded up, and the output's budget."""
     return F.ceil(F.length(text) / 3.5) + budget
+
+
+# -- display and request helpers --------------------------------------------------------------------------------
+
+
+def display_name(filename: Column, most: int = 120) -> Column:
+    """The last part of a name without control characters."""
+    return F.substring(F.regexp_replace(F.regexp_extract(F.replace(filename, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"\p{Cntrl}", ""), 1, most)
+
+
+def milliseconds(ms: Column) -> Column:
+    """Below a second in ms, from then on in seconds with one decimal."""
+    tenths = F.floor((ms + 50) / 100)
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" s")))
+
+
+def time_ago(at: Column, now: Column) -> Column:
+    """now, minutes, hours, else the date."""
+    s = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(at.cast("timestamp"))
+    minutes, hours = F.floor(s / 60).cast("string"), F.floor(s / 3600).cast("string")
+    return F.when(s < 60, "just now").when(s < 3600, F.concat(minutes, F.lit(" min ago"))).when(s < 86400, F.concat(hours, F.lit(" h ago"))).otherwise(F.date_format(at, "yyyy-MM-dd"))
+
+
+def is_loopback(url: Column) -> Column:
+    """The host is localhost or a loopback address."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
+    return (host == "localhost") | host.rlike(r"^127(\.\d{1,3}){3}$") | (host == "[::1]")
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds of a Retry-After value: a number or an HTTP date, not below 0; null for others."""
+    at = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.coalesce(F.trim(value).try_cast("double"), (F.unix_seconds(at) - F.unix_seconds(now.cast("timestamp"))).cast("double"))
+    return F.greatest(F.lit(0.0), wait)
+
+
+def next_quota_reset(now_utc: Column, zone: str = "America/Los_Angeles") -> Column:
+    """The next midnight of a zone, in UTC."""
+    local = F.from_utc_timestamp(now_utc.cast("timestamp"), zone)
+    return F.to_utc_timestamp(F.date_add(F.to_date(local), 1).cast("timestamp"), zone)
+
+
+def usage_count(value: Column) -> Column:
+    """A count that is a whole number of 0 or more, else 0."""
+    n = value.try_cast("bigint")
+    return F.when(n >= 0, n).otherwise(F.lit(0).cast("bigint"))
+
+
+def off_task(category: Column, severity: Column, task: str) -> Column:
+    """Why an answer does not belong to a task, or null: style takes style and maintainability up to medium, review all but style."""
+    if task == "style":
+        return F.when(~category.isin("style", "maintainability"), "category").when(D.severity_rank(severity) > 2, "severity")
+    return F.when(category == "style", "category")
+
+
+def rate_limit(limit: Column, safety: float = 0.8) -> Column:
+    """A share of the limit, but 1 at least."""
+    return F.greatest(F.lit(1.0), limit * safety)
+
+
+def ungrounded(lines: Column, first: Column, last: Column, shown_from: Column, shown_to: Column, evidence: Column, slack: int = 2) -> Column:
+    """Why a reported range is not grounded in a file's `lines`, or null: past the end, not shown, no evidence, or a quoted line that does not occur nearby."""
+    quoted = F.filter(F.transform(split_lines(clean_evidence(evidence)), collapse), lambda q: q != "")
+    window = collapse(F.array_join(F.slice(lines, F.greatest(F.lit(1), first - slack), F.greatest(F.lit(0), last - first + 1 + 2 * slack)), " "))
+    return (
+        F.when(last > F.size(lines), "past_end").when((first < shown_from) | (last > shown_to), "not_shown").when(F.length(F.array_join(quoted, "")) < 3, "no_evidence")
+        .when(~F.forall(quoted, lambda q: F.contains(window, q)), "not_found")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
-from larkspur.plans.durable import grouped
+from larkspur.plans.durable import checkpoint, grouped
 
 FILE = ("repository", "file_path")
 #: Lines by which a prediction may miss a label (a fixed value), and lines per cell of the bucketed join.
@@ -44,7 +44,11 @@ def found_labels(predictions: DataFrame, labels: DataFrame, by_category: bool =
 
     Edges never leave a file, so each file is matched on its own by augmenting paths over its edges alone.
     """
-    edges = label_matches(predictions, labels, by_category)
+    return matched(label_matches(predictions, labels, by_category))
+
+
+def matched(edges: DataFrame) -> DataFrame:
+    """The maximum matching of (finding_id, label_id, file) edges."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         adjacent = {k: sorted(set(g)) for k, g in batch.groupby("label_id")["finding_id"]}
@@ -78,9 +82,10 @@ def scorecard(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """(category, n_predicted, n_correct, n_labels, n_found, precision, recall, f1), matched within each category."""
     cat = _category(F.col("category")).alias("category")
     predicted = predictions.groupBy(cat).agg(F.count(F.lit(1)).alias("n_predicted"))
-    right = correct_predictions(predictions, labels).groupBy(cat).agg(F.count(F.lit(1)).alias("n_correct"))
+    edges = checkpoint(label_matches(predictions, labels))
+    right = predictions.join(edges.select("finding_id"), "finding_id", "left_semi").groupBy(cat).agg(F.count(F.lit(1)).alias("n_correct"))
     wanted = labels.groupBy(cat).agg(F.count(F.lit(1)).alias("n_labels"))
-    hit = labels.join(found_labels(predictions, labels).select("label_id"), "label_id", "left_semi").groupBy(cat).agg(F.count(F.lit(1)).alias("n_found"))
+    hit = labels.join(matched(edges).select("label_id"), "label_id", "left_semi").groupBy(cat).agg(F.count(F.lit(1)).alias("n_found"))
     rows = predicted.join(right, "category", "full").join(wanted, "category", "full").join(hit, "category", "full").na.fill(0, ["n_predicted", "n_correct", "n_labels", "n_found"])
     return rows.select("category", "n_predicted", "n_correct", "n_labels", "n_found", *counts(F.col("n_found"), F.col("n_predicted"), F.col("n_correct"), F.col("n_labels")))
 
