@@ -310,7 +310,7 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After value: a number or an HTTP date, not below 0; null for others."""
     at = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = F.coalesce(F.trim(value).try_cast("double"), (F.unix_seconds(at) - F.unix_seconds(now.cast("timestamp"))).cast("double"))
-    return F.greatest(F.lit(0.0), wait)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 def next_quota_reset(now_utc: Column, zone: str = "America/Los_Angeles") -> Column:

@@ -68,6 +68,11 @@ def running_start(df: DataFrame, keys: list[str], piece: str, order: list[str],
     return local.join(starts, [*keys, piece]).withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_start", "_local")
 
 
+def _plain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as objects: joined frames hold them in chunks, which cannot be handed back."""
+    return rows.astype({c: object for c, t in rows.dtypes.items() if isinstance(t, (pd.StringDtype, pd.ArrowDtype))})
+
+
 def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """`fold` on the rows of each key, streamed: rows are sorted by key within partitions, and a key's rows are passed on when the next key begins.
 
@@ -90,8 +95,8 @@ def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.Da
             done = [fold(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts[:-2], starts[1:-1])]
             rest = rows.iloc[starts[-2] :].reset_index(drop=True)
             if done:
-                yield pd.concat(done, ignore_index=True)
+                yield _plain(pd.concat(done, ignore_index=True))
         if rest is not None:
-            yield fold(rest[columns])
+            yield _plain(fold(rest[columns]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
