@@ -747,8 +747,51 @@ def mock_responder(spark: SparkSession, d: str) -> DataFrame:
     return plugins.respond(table(spark, d, "documents").select("doc_id", "text"), lambda p: f"len {len(p)}", "text").select("doc_id", "answer")
 
 
-@query(_F + " select finding_id, row_number() over (order by sev_rank desc, file_path, start_line nulls first, coalesce(rule_id, ''), ord) as place from f qualify place <= 1000")
+@query(_F + " select finding_id, row_number() over (partition by repository order by sev_rank desc, file_path, start_line nulls first, coalesce(rule_id, ''), ord) as place from f")
 def canonical_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first thousand in report order: an ordered limit, then numbered."""
-    first = V.findings(spark, d).orderBy(*fnd.canonical_order()).limit(1000)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*fnd.canonical_order()))).select("finding_id", F.col("place").cast("bigint").alias("place"))
+    """Every finding's place in its repository's report."""
+    w = Window.partitionBy("repository").orderBy(*fnd.canonical_order())
+    return V.findings(spark, d).select("finding_id", F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query("with ch as (select distinct chunk_id, repository, file_path, start_line, end_line from chunks where chunk_id is not null and start_line is not null), " + _LABELS + """ select chunk_id, count(*) as n, cast(sum(least(e, end_line) - greatest(s, start_line) + 1) as bigint) as shared_lines
+  from ch join lab on ch.repository = lab.repository and ch.file_path = lab.file_path and s <= end_line and start_line <= e group by 1""")
+def overlap_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Per chunk, the labelled ranges that overlap its body and the lines they share with it (an interval join)."""
+    ch = table(spark, d, "chunks").filter("chunk_id is not null and start_line is not null").select("chunk_id", "repository", "file_path", F.col("start_line").alias("cs"), F.col("end_line").alias("ce")).distinct()
+    hit = ch.join(V.labels(spark, d), ["repository", "file_path"]).filter(C.overlaps(F.col("cs"), F.col("ce"), F.col("start_line"), F.col("end_line")))
+    both = C.intersection(F.col("cs"), F.col("ce"), F.col("start_line"), F.col("end_line"))
+    return hit.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum(both["end"] - both["start"] + 1).alias("shared_lines"))
+
+
+@query("with " + _RATINGS + """, k as (select item, unnest(sources) as s from rating_items join (select finding_id, any_value(sources) as sources from findings group by 1) using (finding_id)),
+g as (select item, lower(trim(s)) as grp from k where s is not null and trim(s) <> '' union select item, 'all' from rating_items)
+select grp as source_group, criterion, count(distinct item) as n_items, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0), 6) as deviation from t join g using (item) group by 1, 2""")
+def rating_means_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings joined with the sources of their items; an item counts for each of its sources and for all."""
+    f = table(spark, d, "findings").groupBy("finding_id").agg(F.max("sources").alias("sources"))
+    items = table(spark, d, "rating_items").join(f, "finding_id")
+    names = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.lower(F.trim(s)))
+    groups = items.select("item", F.explode(F.array_distinct(F.concat(F.filter(names, lambda s: s.isNotNull() & (s != "")), F.array(F.lit("all"))))).alias("source_group"))
+    rows = V.ratings(spark, d).join(groups, "item")
+    return rows.groupBy("source_group", "criterion").agg(F.count_distinct("item").alias("n_items"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 6).alias("deviation"))
+
+
+@query(_F + """, a as (select repository, count(*) filter (where live and not weak) as n_reported, count(*) filter (where status = 'dismissed_by_ai') as n_dismissed, count(*) filter (where status = 'needs_review') as n_needs_review from g group by 1) select * from a""")
+def project_facts(spark: SparkSession, d: str) -> DataFrame:
+    f = V.findings(spark, d)
+    live = C.is_reported(F.col("status"), F.col("sources"), F.col("confidence"))
+    return f.groupBy("repository").agg(F.count_if(live).alias("n_reported"), F.count_if(F.col("status") == "dismissed_by_ai").alias("n_dismissed"), F.count_if(F.col("status") == "needs_review").alias("n_needs_review"))
+
+
+@query("with " + _EVENTS + ", l as (select scan_id, max(ts) as last_ts, max(event_id) as e from ev group by 1) select scan_id, last_ts from l order by last_ts desc, e desc limit 12")
+def recent_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve scans used last."""
+    last = V.events(spark, d).groupBy("scan_id").agg(F.max("ts").alias("last_ts"), F.max("event_id").alias("e"))
+    return last.orderBy(F.desc("last_ts"), F.desc("e")).limit(12).select("scan_id", "last_ts")
+
+
+@query("select cast(date_trunc('day', ts) as timestamp) as start, case event_type when 'view' then 'stage' when 'click' then 'tool' when 'signup' then 'finding' when 'purchase' then 'llm_call' when 'error' then 'status' end as kind, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling days of the event stream, as a batch."""
+    return log.windowed(V.events(spark, d)).withColumn("total", F.round("total", 3))
