@@ -143,7 +143,7 @@ def classify(source: DataFrame) -> DataFrame:
         (in_dir | _head_says(VENDORED_HEAD)).alias("vendored_by_name"),
         (_head_says(GENERATED_HEAD) | F.col("file_path").rlike(GENERATED_NAMES) | ((F.col("n_lines") >= 20) & (F.col("repeat_share") >= 0.4))).alias("generated"),
         ((F.col("long_share") >= 0.5) | _head_says(PACKED_HEAD) | (F.col("file_path").rlike(PACKED_NAMES))).alias("packed"),
-        ((F.col("n_lines") >= 15) & (F.col("row_share") >= 0.7)).alias("bulk_data"),
+        ((F.col("n_lines") >= 15) & (F.col("row_share") >= 0.85)).alias("bulk_data"),
     )
     judged = judged.groupBy("file_id").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in judged.columns if c != "file_id"])
     tree = shared_subtrees(source).select("file_id", (F.col("shared_file") | F.col("shared_dir") | (F.col("shared_blocks") >= 0.6)).alias("_tree"))
