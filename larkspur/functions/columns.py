@@ -88,9 +88,8 @@ def shorten(text: Column, most: int = 80) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines by \\n, each without one trailing \\r; a last empty one is dropped; empty texts have none."""
-    raw = F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, "\r$", ""))
-    cut = F.when(F.try_element_at(raw, F.lit(-1)) == "", F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(cut)
+    body = F.regexp_replace(F.regexp_replace(text, "\n\\z", ""), "\r(?=\n|\\z)", "")
+    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
 def clean_evidence(text: Column, most: int = 5) -> Column:
