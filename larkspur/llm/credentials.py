@@ -13,6 +13,7 @@ import binascii
 import functools
 import json
 import math
+import pkgutil
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -277,7 +278,7 @@ class Field_:
 @functools.lru_cache(maxsize=1)
 def model() -> Field_:
     """The trained field."""
-    data = json.loads(MODEL.read_text())
+    data = json.loads(pkgutil.get_data("larkspur.llm", MODEL.name))
     return Field_(data["weights"], data["steps"])
 
 
