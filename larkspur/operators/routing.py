@@ -1,7 +1,8 @@
 """State machines over ordered calls: limiters, token bucket, breaker, cache and the routing simulation.
 
-Each is sequential by nature (a slot depends on the slots before it), so a key's calls are folded in time order in one
-place. The key includes the day: state does not outlive midnight, and a provider's history is never one task.
+Each is sequential by nature (a slot depends on the slots before it), so a provider's calls are folded in time order, with
+the state carried over from stretch to stretch and day to day. They are streamed over sorted rows: a task holds a stretch and
+the state, however long the provider's history is. Only the simulation begins anew each day, as a day is its scenario.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.plans.durable import grouped
+from larkspur.plans.durable import grouped, streamed
 
-KEYS = ["provider", "day"]
+ORDER = ["at", "call_id"]
 
 
 def _timed(calls: DataFrame) -> DataFrame:
@@ -23,41 +24,45 @@ def _timed(calls: DataFrame) -> DataFrame:
     return rows.select("call_id", "provider", F.date_format("called_at", "yyyy-MM-dd").alias("day"), at, "status", F.coalesce("input_tokens", F.lit(0)).alias("tokens"), F.coalesce("model", F.lit("")).alias("model"), F.coalesce("file_path", F.lit("")).alias("path"))
 
 
-def slots(times: list[float], limit: int, window: float) -> list[float]:
-    """Admission times: slot i is the later of time i and the slot `limit` places before plus the window."""
+def slots(times: list[float], limit: int, window: float, before: deque | None = None) -> list[float]:
+    """Admission times: slot i is the later of time i and the slot `limit` places before plus the window.
+
+    `before` holds the latest `limit` slots so far, and is brought up to date.
+    """
+    held: deque = deque(maxlen=limit) if before is None else before
     out: list[float] = []
-    for i, t in enumerate(times):
-        out.append(max(t, out[i - limit] + window) if i >= limit else t)
+    for t in times:
+        held.append(max(t, held[0] + window) if len(held) == limit else t)
+        out.append(held[-1])
     return out
 
 
 def limiter_slots(calls: DataFrame, limit: int = 30, window: float = 60.0) -> DataFrame:
     """(call_id, provider, day, slot, wait): when a limiter of `limit` calls per window lets each call through."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "call_id"])
-        rows["slot"] = slots(rows["at"].tolist(), limit, window)
+    def run(rows: pd.DataFrame, before: deque) -> pd.DataFrame:
+        rows["slot"] = slots(rows["at"].tolist(), limit, window, before)
         rows["wait"] = rows["slot"] - rows["at"]
         return rows[["call_id", "provider", "day", "slot", "wait"]]
 
-    return grouped(_timed(calls), KEYS, run, "call_id bigint, provider string, day string, slot double, wait double")
+    return streamed(_timed(calls), "provider", ORDER, lambda: deque(maxlen=limit), run, "call_id bigint, provider string, day string, slot double, wait double")
 
 
 def token_bucket(calls: DataFrame, capacity: float = 200_000.0, rate: float = 40_000 / 60) -> DataFrame:
     """(call_id, provider, day, level): the level after each charge; it refills over time, may go into debt, and a charge is at most the capacity."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "call_id"])
-        level, last, out = capacity, None, []
-        for at, tokens in zip(rows["at"], rows["tokens"]):
+    def run(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
+        level, last, out = state["level"], state["last"], []
+        for at, tokens in zip(rows["at"].tolist(), rows["tokens"].tolist()):
             level = min(capacity, level + (at - last) * rate) if last is not None else level
             level -= min(capacity, float(tokens))
             last = at
             out.append(level)
+        state.update(level=level, last=last)
         rows["level"] = out
         return rows[["call_id", "provider", "day", "level"]]
 
-    return grouped(_timed(calls), KEYS, run, "call_id bigint, provider string, day string, level double")
+    return streamed(_timed(calls), "provider", ORDER, lambda: {"level": capacity, "last": None}, run, "call_id bigint, provider string, day string, level double")
 
 
 class Breaker:
@@ -83,7 +88,7 @@ class Breaker:
                 self.failures, self.limits, self.probing = 0, 0, False
         elif status == "rate_limited":
             self.limits += 1
-            self._pause(at + min(2.0**self.limits, self.LONGEST))
+            self._pause(at + min(2.0 ** min(self.limits, 30), self.LONGEST))  # a long run of limits would overflow
         elif status == "unavailable":
             self.failures += 1
             if state == "half_open" or self.failures >= self.THRESHOLD:
@@ -96,36 +101,36 @@ class Breaker:
 def breaker_states(calls: DataFrame) -> DataFrame:
     """(call_id, provider, day, state): the breaker's state when each call begins."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "call_id"])
-        b, out = Breaker(), []
-        for at, status in zip(rows["at"], rows["status"]):
+    def run(rows: pd.DataFrame, b: Breaker) -> pd.DataFrame:
+        out = []
+        for at, status in zip(rows["at"].tolist(), rows["status"].tolist()):
             out.append(b.state(at))
             b.record(at, status)
         rows["state"] = out
         return rows[["call_id", "provider", "day", "state"]]
 
-    return grouped(_timed(calls), KEYS, run, "call_id bigint, provider string, day string, state string")
+    return streamed(_timed(calls), "provider", ORDER, Breaker, run, "call_id bigint, provider string, day string, state string")
 
 
 def lru_hits(calls: DataFrame, entries: int = 512) -> DataFrame:
-    """(provider, day, n_calls, n_hits) of a cache of the latest `entries` keys."""
+    """(provider, day, n_calls, n_hits) of a cache of the latest `entries` keys of the provider."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "call_id"])
-        cache: OrderedDict[tuple, None] = OrderedDict()
-        hits = 0
-        for key in zip(rows["model"], rows["path"]):
-            if key in cache:
-                hits += 1
+    def run(rows: pd.DataFrame, cache: OrderedDict) -> pd.DataFrame:
+        hits = []
+        for key in zip(rows["model"].tolist(), rows["path"].tolist()):
+            hits.append(key in cache)
+            if hits[-1]:
                 cache.move_to_end(key)
             else:
                 cache[key] = None
                 if len(cache) > entries:
                     cache.popitem(last=False)
-        return pd.DataFrame([(rows["provider"].iloc[0], rows["day"].iloc[0], len(rows), hits)], columns=["provider", "day", "n_calls", "n_hits"])
+        rows["hit"] = hits
+        return rows.groupby(["provider", "day"], as_index=False).agg(n_calls=("hit", "size"), n_hits=("hit", "sum"))
 
-    return grouped(_timed(calls), KEYS, run, "provider string, day string, n_calls bigint, n_hits bigint")
+    # a day that spans stretches has a row of each
+    parts = streamed(_timed(calls), "provider", ORDER, OrderedDict, run, "provider string, day string, n_calls bigint, n_hits bigint")
+    return parts.groupBy("provider", "day").agg(F.sum("n_calls").alias("n_calls"), F.sum("n_hits").alias("n_hits"))
 
 
 def simulate_routing(calls: DataFrame, limit: int = 30, window: float = 60.0) -> DataFrame:

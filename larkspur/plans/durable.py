@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -100,3 +101,26 @@ def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.Da
             yield _plain(fold(rest[columns]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def streamed(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], fold: Callable[[pd.DataFrame, Any], pd.DataFrame], schema: str) -> DataFrame:
+    """`fold` on the rows of each key in `order`, stretch by stretch, with one state per key that `start` makes and `fold` changes.
+
+    For folds over a history of any length: a task holds a batch of rows and a state. A key is one task, as its state passes from row to row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            changes = batch[key].ne(batch[key].shift()).to_numpy().nonzero()[0].tolist()
+            done = []
+            for a, b in zip(changes, [*changes[1:], len(batch)]):
+                rows = batch.iloc[a:b].reset_index(drop=True)
+                if state is None or rows[key].iloc[0] != current:
+                    current, state = rows[key].iloc[0], start()
+                done.append(fold(rows, state))
+            yield _plain(pd.concat(done, ignore_index=True))
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
 import random
 
@@ -100,6 +101,49 @@ def test_breaker_opens_on_three_failures_and_ignores_late_answers():
     assert b.state(44.0) == "open" and b.state(46.0) == "half_open"
 
 
+CALL = "call_id bigint, called_at timestamp, provider string, status string, input_tokens bigint, model string, file_path string"
+
+
+def at_midnight(spark, *rows):
+    """Calls of provider p on both sides of a midnight: (second after 23:59:50, status, tokens, path)."""
+    zero = datetime.datetime(2025, 3, 1, 23, 59, 50, tzinfo=datetime.timezone.utc)
+    return spark.createDataFrame([(i, zero + datetime.timedelta(seconds=s), "p", status, tokens, "m", path) for i, (s, status, tokens, path) in enumerate(rows)], CALL)
+
+
+def test_state_outlives_midnight(spark):
+    same = at_midnight(spark, (0, "ok", 0, "a"), (11, "ok", 0, "a"), (12, "ok", 0, "b"))
+    assert {(r["day"], r["n_calls"], r["n_hits"]) for r in routing.lru_hits(same).collect()} == {("2025-03-01", 1, 0), ("2025-03-02", 2, 1)}
+    down = at_midnight(spark, *[(s, "unavailable", 0, "a") for s in (0, 1, 2)], (11, "ok", 0, "a"), (40, "ok", 0, "a"), (41, "ok", 0, "a"))
+    assert [r["state"] for r in routing.breaker_states(down).orderBy("call_id").collect()] == ["closed", "closed", "closed", "open", "half_open", "closed"]
+    spent = at_midnight(spark, (0, "ok", 100, "a"), (12, "ok", 10, "a"))
+    assert [r["level"] for r in routing.token_bucket(spent, 100.0, 1.0).orderBy("call_id").collect()] == [0.0, 2.0]
+    queued = at_midnight(spark, (0, "ok", 0, "a"), (1, "ok", 0, "a"), (11, "ok", 0, "a"))
+    assert [r["wait"] for r in routing.limiter_slots(queued, 2, 60.0).orderBy("call_id").collect()] == [0.0, 0.0, 49.0]
+
+
+def test_stretches_of_a_provider_are_one_history(spark):
+    r = random.Random(4)
+    rows = [(s, r.choice(["ok", "ok", "unavailable", "rate_limited"]), r.randint(0, 90), f"f{r.randint(0, 9)}") for s in sorted(r.sample(range(4000), 300))]
+    calls = at_midnight(spark, *rows)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plans = (routing.limiter_slots(calls, 3, 60.0), routing.token_bucket(calls, 300.0, 1.0), routing.breaker_states(calls), routing.lru_hits(calls, 5))
+    whole = [sorted(map(tuple, p.collect())) for p in plans]
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        again = (routing.limiter_slots(calls, 3, 60.0), routing.token_bucket(calls, 300.0, 1.0), routing.breaker_states(calls), routing.lru_hits(calls, 5))
+        assert [sorted(map(tuple, p.collect())) for p in again] == whole
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_a_long_run_of_rate_limits_keeps_the_longest_pause():
+    b = routing.Breaker()
+    for t in range(1100):
+        b.record(float(t), "rate_limited")
+    assert b.state(1158.0) == "open" and b.state(1159.0) == "half_open"
+
+
 def test_cohen_textbook(spark):
     cells = [(1, 1, 20), (1, 2, 5), (2, 1, 10), (2, 2, 15)]
     rows, k = [], 0
