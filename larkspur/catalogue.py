@@ -424,7 +424,7 @@ def json_answers(spark: SparkSession, d: str) -> DataFrame:
 def secret_masking(spark: SparkSession, d: str) -> DataFrame:
     lines = V.lines(spark, d)
     # known secrets: the values that credential findings quote
-    quoted = V.findings(spark, d).filter("issue_key = 'hardcoded-credential' and evidence is not null").select(F.explode(F.regexp_extract_all("evidence", F.lit('"([A-Za-z0-9+/=_.!*%#-]{12,})"'), F.lit(1))).alias("v"))
+    quoted = texts.quoted_secrets(V.findings(spark, d))
     return texts.mask_values(lines, quoted.select(F.sha1("v").alias("sha1")).distinct())
 
 

@@ -394,6 +394,16 @@ def found(chunks: DataFrame, findings: DataFrame) -> DataFrame:
     return _texts(chunks, findings).mapInPandas(run, "record_kind string, record_id bigint, line_no int").distinct()
 
 
+def values(findings: DataFrame) -> DataFrame:
+    """(v): every distinct credential in the evidence of credential findings, quoted or not."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"v": sorted({t[a:b] for t in batch["evidence"] for _, a, b, _ in spans(t)})}, dtype="object")
+
+    return findings.filter("issue_key = 'hardcoded-credential' and evidence is not null").select("evidence").distinct().mapInPandas(run, "v string").distinct()
+
+
 def redacted(chunks: DataFrame, findings: DataFrame) -> DataFrame:
     """(record_kind, record_id, n_spans, text): one row per row of the inputs with an id and a text, credentials masked, all else as it was."""
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import consensus, credentials, mixing, packing, parsing, percentiles, provenance, quality, splitting, survivors
+from larkspur.operators import texts
+from larkspur.plans import views as V
 from larkspur.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +56,13 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(table(spark, d, "chunks"), table(spark, d, "findings"))
 
 
+def sensitive_lines(spark: SparkSession, d: str) -> DataFrame:
+    findings = table(spark, d, "findings")
+    known = texts.quoted_secrets(findings).unionByName(credentials.values(findings))
+    reported = texts.reported_lines(V.findings(spark, d), table(spark, d, "source_files"))
+    return texts.sensitive_lines(V.lines(spark, d), reported, known.select(F.sha1("v").alias("sha1")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "findings")).select("first_id", "best_id")
 
@@ -133,6 +142,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         p1_found, p1_kinds, p1_findings, p2_found, p2_consensus, p2_agreement, p2_reliability, p3_found, p3_redacted, p4_found, p4_survivors, p5_found, p5_verdicts,
         p5_rates, p6_found, p6_daily, p6_weekly, p7_found, p7_boundaries, p7_pieces, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_statistics,
+        sensitive_lines,
     )
 }
 

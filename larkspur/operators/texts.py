@@ -103,6 +103,26 @@ def candidate_values(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(words, quoted, trimmed), lambda v: v != ""))
 
 
+#: Evidence of findings whose text a detector withheld.
+REDACTED = "[redacted: possible secret]"
+
+
+def reported_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, line_no): the lines of credential findings and of those with withheld evidence, in every version of their file that has the line."""
+    own = findings.filter((F.col("issue_key") == "hardcoded-credential") | (F.col("evidence") == REDACTED)).filter("start_line >= 1")
+    spans = own.select("repository", "file_path", "start_line", F.greatest("start_line", F.coalesce("end_line", "start_line")).alias("end_line")).distinct()
+    held = files.filter("content is not null").join(spans.select("repository", "file_path").distinct(), ["repository", "file_path"], "left_semi")
+    lengths = held.select("file_id", "repository", "file_path", F.size(C.split_lines(F.col("content"))).alias("n"))
+    at = lengths.join(spans, ["repository", "file_path"]).filter("start_line <= n")
+    return at.select("file_id", F.explode(F.sequence("start_line", F.least("end_line", "n"))).alias("line_no")).distinct()
+
+
+def quoted_secrets(findings: DataFrame) -> DataFrame:
+    """(v): the values that credential findings quote."""
+    quoted = findings.filter("issue_key = 'hardcoded-credential' and evidence is not null")
+    return quoted.select(F.explode(F.regexp_extract_all("evidence", F.lit('"([A-Za-z0-9+/=_.!*%#-]{12,})"'), F.lit(1))).alias("v"))
+
+
 def sensitive_lines(lines: DataFrame, secret_lines: DataFrame, secret_hashes: DataFrame) -> DataFrame:
     """Lines that were reported, or of which a value's digest is known."""
     known = _known_values(lines.select("file_id", "line_no", "text"), secret_hashes).select("file_id", "line_no")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import consensus, credentials, mixing, packing, parsing, percentiles, provenance, quality, splitting, survivors
+from larkspur.llm import consensus, credentials, mixing, packing, parsing, percentiles, provenance, quality, queries, splitting, survivors
+from larkspur.operators import texts
 
 RANGES = "array<struct<start_line:int,end_line:int>>"
 SCHEMAS = {
@@ -70,6 +71,20 @@ def test_rows_of_nulls(spark, name):
 CODE = "\n".join(f"{i:>3} | {'def f%d(a):' % i if i % 10 == 1 else '    a = a + %d' % i}" for i in range(1, 301))
 
 
+def test_sensitive_lines_are_reported_or_hold_a_known_value(spark, tmp_path):
+    content = "a = 1\nfirst = 'Panel*Remote8528'\nb = 2\nc = 3\nlast = call(\"Panel*Remote8528\")\ntoken = \"eyJhbGciOi.J9_x-y/z+w==\"\n"
+    spark.createDataFrame([(1, "r", "a.py", content), (2, "r", "b.py", content)], "file_id bigint, repository string, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    rows = [
+        (1, "r", "a.py", 3, 4, "hardcoded-credential", texts.REDACTED), (2, "r", "z.py", 9, 9, "hardcoded-credential", "password = 'Panel*Remote8528'"),
+        (3, "r", "a.py", 6, 90, "hardcoded-credential", None), (4, "r", "b.py", 1, 1, "ruff:F401", "a = 1"), (5, "r", "z.py", 1, 1, "hardcoded-credential", 'token = "eyJhbGciOi.J9_x-y/z+w=="'),
+    ]
+    schema = "finding_id bigint, repository string, file_path string, start_line int, end_line int, issue_key string, evidence string"
+    df = spark.createDataFrame(rows, schema).select("*", F.lit("high").alias("severity"), F.lit(1.0).alias("confidence"), F.array(F.lit("x")).alias("sources"), F.lit(1).alias("loaded_at"))
+    df.write.parquet(f"{tmp_path}/findings.parquet")
+    out = queries.sensitive_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["file_id"], r["line_no"]) for r in out) == [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 2), (2, 5), (2, 6)]
+
+
 def sample(t):
     import datetime as dt
 
