@@ -8,11 +8,12 @@ block of the source's shuffled texts, laid end to end and repeated as often as a
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.tokens import VOCABULARY, n_tokens
-from larkspur.plans.durable import checkpoint, running_start, small
+from larkspur.plans.durable import checkpoint, grouped, running_start, small
 
 GOLDEN = 0.6180339887498949
 BLOCK = 512
@@ -82,19 +83,53 @@ def _partial(laid: DataFrame, n: int, seed: int) -> DataFrame:
     """The texts of the last, incomplete repeat of each source: `part` tokens in the order of a hash.
 
     Texts longer than 1/64 of the part are drawn first, each with the part's share of the source as its
-    chance, as one of them at the end would leave a large gap; the others then fill the rest to half a text.
+    chance, as one of them at the end would leave a large gap; the others then fill the rest to half a text. Where they
+    are too few for that, `_filled` takes more of the long ones first.
     """
     hashed = _shuffled(laid.filter("part > 0"), F.lit(seed), F.lit(-1).cast("long"))
     long_ = F.col("tokens") * 64 > F.col("part")
     chance = F.col("_h") / F.lit(2.0**64) + 0.5
-    drawn = running_start(hashed.filter(long_ & (chance < F.col("part") / F.greatest("held", F.lit(1)))), ["source"], "_piece", ["_h", "doc_id"], "tokens", "_before")
-    drawn = drawn.filter(F.col("_before") + F.col("tokens") <= F.col("part")).drop("_before")
+    lucky, fits = chance < F.col("part") / F.greatest("held", F.lit(1)), F.col("_before") + F.col("tokens") <= F.col("part")
+    tried = running_start(hashed.filter(long_ & lucky), ["source"], "_piece", ["_h", "doc_id"], "tokens", "_before")
+    first, others = tried.filter(fits).drop("_before"), tried.filter(~fits).drop("_before").unionByName(hashed.filter(long_ & ~lucky))
+    sums = hashed.groupBy("source").agg(F.sum(F.when(~long_, F.col("tokens")).otherwise(0)).alias("_short"))
+    sums = sums.join(first.groupBy("source").agg(F.sum("tokens").alias("_first")), "source", "left").na.fill(0, ["_first"])
+    drawn = first.unionByName(_filled(others.join(small(sums, n), "source")).select(first.columns))
     taken = drawn.groupBy("source").agg(F.sum("tokens").alias("_taken"))
     rest = running_start(hashed.filter(~long_), ["source"], "_piece", ["_h", "doc_id"], "tokens", "_before")
     rest = rest.join(small(taken, n), "source", "left").filter(F.coalesce("_taken", F.lit(0)) + F.col("_before") + F.col("tokens") / 2 <= F.col("part"))
     return drawn.unionByName(rest.drop("_before", "_taken"))
 
 
+def _filled(others: DataFrame) -> DataFrame:
+    """Of the long texts not drawn, those that sources need whose short texts (`_short` tokens) do not fill what the drawn ones (`_first`) leave.
+
+    The largest that fits, by hash among equals, until the short ones can fill the rest. If they still cannot, the
+    smallest one left is taken too where that ends closer to the part, so a source is off by half of an unused text at most.
+    """
+    gap = F.col("part") - F.col("_first")
+    need = others.withColumn("_gap", gap).withColumn("_need", gap - F.col("_short")).filter("_need > 0 and tokens < 2 * _gap")
+    # more texts of one length than fit, and one, are of no use: a source meets in one task with few rows
+    place = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("_h", "doc_id"))
+    some = need.withColumn("_place", place).filter(F.col("_place") <= F.floor(F.col("_gap") / F.col("tokens")) + 1).drop("_place")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["tokens", "_h", "doc_id"], ascending=[False, True, True], ignore_index=True)
+        gap, need = int(rows["_gap"].iloc[0]), int(rows["_need"].iloc[0])
+        taken, least = [], None
+        for i, t in enumerate(rows["tokens"].tolist()):
+            if need > 0 and t <= gap:
+                taken.append(i)
+                gap, need = gap - t, need - t
+            else:
+                least = i
+        if need > 0 and least is not None and int(rows["tokens"].iloc[least]) - gap < need:
+            taken.append(least)
+        return rows.iloc[taken]
+
+    return grouped(some, ["source"], run, some.schema)
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK, seed: int = 17, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mixture (slot, source, doc_id, epoch, tokens) and its weights (see `plan`, with the tokens wanted in all).
 
@@ -132,7 +167,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 def shares(mixture: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, target_share, wanted_tokens, reached_tokens, reached_share, share_of_wanted, texts_used, most_repeats, fell_short), one row per target.
 
-    reached_share is of the mixture's tokens, share_of_wanted of those wanted in all (what sources that fell short leave open is not given to others). A source fell short if it holds less than its part even with all repeats.
+    reached_share is of the mixture's tokens, share_of_wanted of those wanted in all (what sources that fell short leave open is not given to others). 
+    A source fell short if it holds less than its part even with all repeats, or stays below it by more than the half short text (1/128) that the filling may leave.
     """
     got = mixture.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k")).groupBy("source").agg(
         F.sum("t").alias("reached_tokens"), F.count(F.lit(1)).alias("texts_used"), F.max("k").alias("most_repeats")
@@ -144,5 +180,5 @@ def shares(mixture: DataFrame, weights: DataFrame) -> DataFrame:
         F.round(F.col("reached_tokens") / total, 6).alias("reached_share"),
         F.round(F.col("reached_tokens") / F.nullif(F.sum("wanted").over(Window.partitionBy()), F.lit(0)), 6).alias("share_of_wanted"),
         "texts_used", "most_repeats",
-        (F.col("held") * F.col("max_repeats") < F.col("wanted")).alias("fell_short"),
+        ((F.col("held") * F.col("max_repeats") < F.col("wanted")) | ((F.col("wanted") - F.col("reached_tokens")) * 128 > F.col("wanted"))).alias("fell_short"),
     )

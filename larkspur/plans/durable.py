@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a side that may be broadcast; the callers' rows are under 200 bytes, so 40 MB at most.
 BROADCAST_ROWS = 200_000
@@ -74,7 +75,7 @@ def _plain(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.astype({c: object for c, t in rows.dtypes.items() if isinstance(t, (pd.StringDtype, pd.ArrowDtype))})
 
 
-def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
     """`fold` on the rows of each key, streamed: rows are sorted by key within partitions, and a key's rows are passed on when the next key begins.
 
     One Python call handles many small keys of a batch, which a grouped map pays for one by one.

@@ -165,6 +165,22 @@ def test_mix_reaches_shares_within_repeats(spark):
     assert report["small"]["most_repeats"] <= 2 and report["big"]["most_repeats"] == 1
 
 
+def test_a_source_of_long_texts_reaches_its_part_with_any_seed(spark):
+    rows = [(i, "long", f"word{i} " * (40 + i)) for i in range(20)] + [(100 + i, "two", f"other{i} " * 400) for i in range(2)] + [(200 + i, "two", f"few{i} " * 4) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    t = spark.createDataFrame([("long", 0.5, 1), ("two", 0.5, 1)], "doc_source string, target_share double, max_repeats int")
+    sizes = {r["doc_id"]: r["tokens"] for r in mixing.stock(d, t).collect()}
+    for seed in range(4):
+        mixture, weights = mixing.mix(d, t, total_tokens=2 * (sizes[100] + 10), block=64, seed=seed)
+        used = mixture.groupBy("source", "doc_id").count().collect()
+        assert max(r["count"] for r in used) == 1
+        for r in mixing.shares(mixture, weights).collect():
+            left = [sizes[i] for i, s, _ in rows if s == r["source"] and not any(u["doc_id"] == i for u in used)]
+            off = abs(r["reached_tokens"] - r["wanted_tokens"])
+            assert off <= min(left) / 2 or off <= 8, (seed, r)
+            assert r["fell_short"] == (r["reached_tokens"] < r["wanted_tokens"] * 127 / 128)
+
+
 def test_schedule_is_even_in_every_stretch(spark):
     weights = spark.createDataFrame([("a", 0.0, 0.7), ("b", 0.7, 1.0)], "source string, low double, high double")
     rows = sorted(mixing.schedule(weights, 1000).collect(), key=lambda r: r["slot"])
