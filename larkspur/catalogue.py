@@ -280,7 +280,7 @@ def pack_segments(spark: SparkSession, d: str) -> DataFrame:
 def chunk_context(spark: SparkSession, d: str) -> DataFrame:
     c = V.chunks(spark, d).filter("start_line is not null and context is not null")
     ranges = F.transform("context", lambda r: F.struct(r["start_line"].alias("start"), r["end_line"].alias("end")))
-    return c.select("chunk_id", F.to_json(texts.select_context(ranges, F.col("start_line"), 5)).alias("shown"))
+    return c.select("chunk_id", F.to_json(texts.select_context(ranges, F.col("start_line"))).alias("shown"))
 
 
 @query("with " + _LINES + """, w as (select *, cast(max(length(cast(line_no as varchar))) over (partition by file_id) as int) as width, line_no - lag(line_no) over (partition by file_id order by line_no) as step from lines where trim(text, ' ') <> '')

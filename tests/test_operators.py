@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import catalogue
 from larkspur.operators import agreement, matching, routing, texts
 from larkspur.operators import findings as fnd
 from larkspur.sources import tools
@@ -179,6 +181,13 @@ def test_tool_outputs(spark):
     assert (sec["severity"], sec["end_line"], sec["start_column"], sec["title"]) == ("low", 4, 1, "Possible hard-coded password")
 
 
+def test_chunk_context_has_forty_lines(spark, tmp_path):
+    rows = [("c", 100, [(1, 30), (50, 70)]), ("d", 100, [(1, 7)])]
+    spark.createDataFrame(rows, "chunk_id string, start_line int, context array<struct<start_line:int,end_line:int>>").write.parquet(f"{tmp_path}/chunks.parquet")
+    out = {r["chunk_id"]: json.loads(r["shown"]) for r in catalogue.chunk_context(spark, str(tmp_path)).collect()}
+    assert out == {"c": [{"start": 1, "end": 30}, {"start": 50, "end": 59}], "d": [{"start": 1, "end": 7}]}
+
+
 def test_leaders_fold_in_order(spark):
     rows = [finding(1, 1, end=5), finding(2, 4, end=8), finding(3, 7, end=9), finding(4, 5, end=6)]
     out = {r["finding_id"]: r["leader_id"] for r in matching.leader_clusters(spark.createDataFrame(rows, FINDING)).collect()}
