@@ -626,6 +626,11 @@ def fleiss_kappa(spark: SparkSession, d: str) -> DataFrame:
     return agreement.fleiss_kappa(V.ratings(spark, d))
 
 
+@query()
+def fleiss_kappa_by_raters(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.fleiss_by_raters(V.ratings(spark, d))
+
+
 @query(_F + ", s as (select repository, finding_id, cast(row_number() over (partition by repository order by md5('7' || cast(finding_id as varchar)), finding_id) as int) as place from f where suggestion is not null) select repository, place, finding_id from s where place <= 3")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return agreement.stratified_sample(V.findings(spark, d))

@@ -40,13 +40,18 @@ def cohen_kappa(ratings: DataFrame, quadratic: bool = True, least_items: int = 2
 
 def fleiss_kappa(ratings: DataFrame, raters: int = 7) -> DataFrame:
     """(criterion, n_items, kappa) over items with exactly so many raters; 1 if no disagreement is to be expected."""
+    return fleiss_by_raters(ratings).filter(F.col("n_raters") == raters).drop("n_raters")
+
+
+def fleiss_by_raters(ratings: DataFrame) -> DataFrame:
+    """(criterion, n_raters, n_items, kappa): Fleiss' kappa over the items of each number of raters from 2, as it is defined for a fixed number."""
     per = ratings.groupBy("criterion", "item", "score").agg(F.count(F.lit(1)).alias("k"))
-    items = per.groupBy("criterion", "item").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"), *[F.sum(F.when(F.col("score") == s, F.col("k")).otherwise(0)).alias(f"s{s}") for s in range(1, 6)]).filter(F.col("n") == raters)
-    total = items.groupBy("criterion").agg(
-        F.count(F.lit(1)).alias("n_items"), F.avg((F.col("q") - raters) / F.lit(raters * (raters - 1.0))).alias("seen"), *[F.avg(F.col(f"s{s}") / F.lit(float(raters))).alias(f"p{s}") for s in range(1, 6)]
+    items = per.groupBy("criterion", "item").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"), *[F.sum(F.when(F.col("score") == s, F.col("k")).otherwise(0)).alias(f"s{s}") for s in range(1, 6)]).filter(F.col("n") >= 2)
+    total = items.groupBy("criterion", F.col("n").alias("n_raters")).agg(
+        F.count(F.lit(1)).alias("n_items"), F.avg((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1.0))).alias("seen"), *[F.avg(F.col(f"s{s}") / F.col("n").cast("double")).alias(f"p{s}") for s in range(1, 6)]
     )
     chance = sum(F.col(f"p{s}") * F.col(f"p{s}") for s in range(1, 6))
-    return total.select("criterion", "n_items", F.round(F.when(chance == 1, 1.0).otherwise((F.col("seen") - chance) / (1 - chance)), 6).alias("kappa"))
+    return total.select("criterion", "n_raters", "n_items", F.round(F.when(chance == 1, 1.0).otherwise((F.col("seen") - chance) / (1 - chance)), 6).alias("kappa"))
 
 
 def stratified_sample(findings: DataFrame, by: str = "repository", k: int = 3, seed: str = "7") -> DataFrame:

@@ -157,6 +157,12 @@ def test_cohen_textbook(spark):
     assert agreement.cohen_kappa(df, quadratic=False).first()["kappa"] == pytest.approx(0.4, abs=1e-6)
 
 
+def test_fleiss_has_a_row_per_number_of_raters(spark):
+    rows = [(f"r{k}", item, "c", s) for item, scores in (("a", (1, 1)), ("b", (2, 2)), ("d", (1, 2, 2)), ("e", (1, 1, 1)), ("f", (3,))) for k, s in enumerate(scores)]
+    out = agreement.fleiss_by_raters(spark.createDataFrame(rows, "rater string, item string, criterion string, score int")).collect()
+    assert sorted(map(tuple, out)) == [("c", 2, 2, 1.0), ("c", 3, 2, 0.25)]
+
+
 def test_packed_segments_stay_within_the_target(spark):
     rows = [(1, 1, 10), (1, 12, 20), (1, 22, 90), (1, 95, 99)]
     out = texts.pack_segments(spark.createDataFrame(rows, "file_id int, start_line int, end_line int"), 25).collect()
