@@ -7,6 +7,7 @@ it was read in; only verdicts are grouped.
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -18,21 +19,22 @@ from pyspark.sql import functions as F
 from larkspur.llm.syntax.packrat import Grammar
 
 _CONFLICT = re.compile(r"(?m)^(<{7}|>{7})( \S|$)")
-#: Nesting that the engine follows; deeper files are reported as nested too deep.
-DEPTH = 60_000
+#: Calls that the engine nests (hundreds of thousands of brackets in each other). A file beyond it gets no verdict but the cause "nested too deep".
+DEPTH = 4_000_000
+_PACKAGE = re.compile(r"(?:\s|;|//[^\n]*|/\*(?s:.*?)\*/)*package\b")
 
 
-def languages() -> dict[str, tuple[Callable[[str], str], Grammar]]:
-    """Lexer and grammar per language."""
+def languages() -> dict[str, tuple[Callable[..., str], Grammar]]:
+    """Lexer and grammar per language; a lexer's second argument receives the place in the text of each class."""
     from larkspur.llm.syntax import go_grammar, java_grammar, python_grammar, script_grammar
 
     return {
         "python": (python_grammar.lex, python_grammar.PYTHON),
         "java": (java_grammar.lex, java_grammar.JAVA),
         "go": (go_grammar.lex, go_grammar.GO),
-        "javascript": (lambda t: script_grammar.lex(t, "ts"), script_grammar.JAVASCRIPT),
-        "typescript": (lambda t: script_grammar.lex(t, "ts"), script_grammar.TYPESCRIPT),
-        "tsx": (lambda t: script_grammar.lex(t, "tsx"), script_grammar.TYPESCRIPT),
+        "javascript": (functools.partial(script_grammar.lex, dialect="ts"), script_grammar.JAVASCRIPT),
+        "typescript": (functools.partial(script_grammar.lex, dialect="ts"), script_grammar.TYPESCRIPT),
+        "tsx": (functools.partial(script_grammar.lex, dialect="tsx"), script_grammar.TYPESCRIPT),
     }
 
 
@@ -42,7 +44,7 @@ def normalised(content: str) -> str:
 
 
 def is_valid(content: str, language: str, table: dict | None = None) -> bool | None:
-    """Whether `content` parses; None for a language without a grammar. Texts of blanks alone are valid but in Go and Java's sense of a package: empty files are valid."""
+    """Whether `content` parses; None for a language without a grammar or if nested beyond `DEPTH`. Empty and blank files are valid."""
     table = table or languages()
     if language not in table:
         return None
@@ -53,38 +55,49 @@ def is_valid(content: str, language: str, table: dict | None = None) -> bool | N
     try:
         return grammar.accepts(lex(text))
     except RecursionError:
-        return False
+        return None
 
 
-def explain(content: str, language: str, table: dict | None = None) -> tuple[int, str, str]:
+def explain(content: str, language: str, table: dict | None = None) -> tuple[int | None, str, str]:
     """(line of the furthest failure, cause, what was wanted there) of a file that is not valid."""
     table = table or languages()
     lex, grammar = table[language]
     text = normalised(content)
+    places: list[int] = []
     try:
-        s = lex(text)
+        s = lex(text, at=places)
         far, wanted = grammar.failure(s)
     except RecursionError:
-        return 1, "nested too deep", ""
-    lines = text.split("\n")
-    low, high = 1, len(lines)
-    while low < high:  # the first line whose end lies beyond the failure
-        mid = (low + high) // 2
-        if len(lex("\n".join(lines[:mid]) + "\n")) > far:
-            high = mid
-        else:
-            low = mid + 1
+        return None, "nested too deep", ""
+    line = text.count("\n", 0, places[far]) + 1 if far < len(places) else len(text.split("\n"))
     if _CONFLICT.search(text):
         cause = "merge conflict"
-    elif other := next((k for k in table if k != language and {k, language} != {"typescript", "tsx"} and is_valid(content, k, table)), None):
-        cause = f"is {other}"
     elif far >= len(s):
         cause = "truncated"
+    elif other := _other(text, language, table):
+        cause = f"is {other}"
     elif s[far] == "\x00":
         cause = "bad token"
     else:
         cause = "unexpected token"
-    return low, cause, " ".join(wanted[:8]).replace("\n", "end of line")
+    return line, cause, " ".join(wanted[:8]).replace("\n", "end of line")
+
+
+def _other(text: str, language: str, table: dict) -> str | None:
+    """A language in which the text is valid, if there is one. Go needs a package clause at its start, and what is no tsx by its marks is lexed as TypeScript once."""
+    lexed: dict[object, str] = {}
+    for other, (lex, grammar) in table.items():
+        if other == language or {other, language} == {"typescript", "tsx"} or (other == "go" and not _PACKAGE.match(text)):
+            continue
+        key = (lex.func, lex.keywords["dialect"]) if isinstance(lex, functools.partial) else lex
+        try:
+            if key not in lexed:
+                lexed[key] = lex(text)
+            if grammar.accepts(lexed[key]):
+                return other
+        except RecursionError:
+            continue
+    return None
 
 
 def verdicts(source: DataFrame) -> DataFrame:
@@ -102,7 +115,10 @@ def verdicts(source: DataFrame) -> DataFrame:
             out = []
             for content, language in zip(batch["content"], batch["file_language"]):
                 ok = is_valid(content, language, table) if isinstance(content, str) else None
-                out.append((ok, *(explain(content, language, table) if ok is False else (None, None, None))))
+                why = explain(content, language, table) if ok is False else (None, None, None)
+                if ok is None and isinstance(content, str) and language in table:
+                    why = (None, "nested too deep", None)
+                out.append((ok, *why))
             found = pd.DataFrame(out, columns=["valid", "fail_line", "cause", "wanted"], dtype=object)
             found["fail_line"] = found["fail_line"].astype("Int32")
             found["valid"] = found["valid"].astype("boolean")

@@ -27,18 +27,20 @@ class Lexer:
     words: str = r"[^\W\d]\w*"
     comments: str = r"//[^\n]*|/\*(?s:.*?)\*/"
     lead: str = r"[ \t\f\r]*"
+    often: str = r"[)\]]|[,;](?!\s*/)"
+    line_end: str = "\n"
     known: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         ops = "|".join(re.escape(o) for o in sorted(self.operators, key=len, reverse=True))
-        self.master = re.compile(rf"{self.lead}({self.words}|\n\s*|{self.comments}|{self.literals}|{self.numbers}|{ops}|(?s:.)|\Z)")
+        self.master = re.compile(rf"{self.lead}+({self.words}|{self.often}|\n\s*+|{self.comments}|{self.literals}|{self.numbers}|{ops}|(?s:.)|\Z)")
         self.base = {t: self.classes[t] for t in [*self.keywords, *self.operators]}
         self.known.update(self.base)
         self.number = re.compile(rf"(?:{self.numbers})\Z")
         self.word = re.compile(rf"(?:{self.words})\Z")
 
     def of(self, token: str) -> str:
-        """The classes of a token; line ends and comments with line ends give \\n."""
+        """The classes of a token; line ends and comments with line ends give `line_end`."""
         c = self.known.get(token)
         if c is None:
             if len(self.known) > 300_000:
@@ -50,9 +52,9 @@ class Lexer:
     def classify(self, token: str) -> str:
         first = token[:1]
         if first == "\n":
-            return "\n"
+            return self.line_end
         if first == "/" and token[1:2] in ("/", "*"):
-            return "\n" if "\n" in token else ""
+            return self.line_end if "\n" in token else ""
         if not token or token.isspace():
             return ""
         if self.word.match(token):
@@ -67,3 +69,7 @@ class Lexer:
         of = self.of
         get = self.known.get
         return [get(t) or of(t) for t in self.master.findall(text)]
+
+    def places(self, text: str) -> list[int]:
+        """Where each of `tokens` begins."""
+        return [m.start(1) for m in self.master.finditer(text)]

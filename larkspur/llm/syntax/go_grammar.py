@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from larkspur.llm.syntax.braces import Lexer, classes
 from larkspur.llm.syntax.packrat import Grammar
 
@@ -47,9 +49,9 @@ line <- statement? ";"
 statement <- labeled / declaration / simple_or_other
 labeled <- ID ":" statement?
 simple_or_other <- "go" expr / "defer" expr / "return" exprs? / "break" ID? / "continue" ID? / "goto" ID / "fallthrough" / block / if / switch / select / for / simple
-simple <- exprs ("++" / "--" / "<-" expr / ":=" "range" expr / ":=" exprs / ASSIGN "range" expr / ASSIGN exprs)?
+simple <- ids ":=" ("range" expr / exprs) / exprs ("++" / "--" / "<-" expr / ASSIGN "range" expr / ASSIGN exprs)?
 if <- "if" (simple_h? ";")? expr_h block ("else" (if / block))?
-simple_h <- exprs_h ("++" / "--" / "<-" expr_h / ":=" exprs_h / ASSIGN exprs_h)?
+simple_h <- ids ":=" exprs_h / exprs_h ("++" / "--" / "<-" expr_h / ASSIGN exprs_h)?
 switch <- "switch" (simple_h? ";")? (ID ":=" unary_h "." "(" "type" ")" / typeswitch / expr_h)? "{" case* "}"
 typeswitch <- unary_h "." "(" "type" ")"
 case <- ("case" cases / "default") ":" statements
@@ -57,7 +59,7 @@ cases <- type_or_expr ("," type_or_expr)*
 type_or_expr <- expr &("," / ":") / type
 select <- "select" "{" (("case" simple / "default") ":" statements)* "}"
 for <- "for" (rangeclause block / simple_h? ";" expr_h? ";" simple_h? block / expr_h block / block)
-rangeclause <- (exprs_h (":=" / "="))? "range" expr_h
+rangeclause <- (ids ":=" / exprs_h "=")? "range" expr_h
 exprs <- expr ("," expr)*
 expr <- unary (BIN unary)*
 unary <- ("+" / "-" / "!" / "^" / "*" / "&" / "<-")* primary
@@ -83,7 +85,7 @@ primary_h <- operand_h suffix*
 operand_h <- !ID literal / NUM / STR / CHAR / "func" signature block / conversion "(" expr ","? ")" / ID / "(" (expr / type) ")"
 """
 
-GO = Grammar(_TEXT + _HEADERS, CLASSES, cached={"block": "()", "line": ";"})
+GO = Grammar(_TEXT + _HEADERS, CLASSES, cached={"block": "()", "line": ";"}, memo=("expr", "primary", "type", "expr_h", "primary_h"))
 
 LEXER = Lexer(
     KEYWORDS, OPERATORS, CLASSES,
@@ -92,15 +94,17 @@ LEXER = Lexer(
 )
 
 
-def lex(text: str) -> str:
-    out: list[str] = []
-    add, last = out.append, ""
-    for c in LEXER.tokens(text if text.endswith("\n") else text + "\n"):
-        if c == "\n":
-            if last in ENDING:
-                add(";")
-                last = ";"
-        elif c:
-            add(c)
-            last = c
-    return "".join(out)
+_LINE = re.compile("(?<=[" + "".join(map(re.escape, sorted(ENDING))) + "])\n+")
+
+
+def lex(text: str, at: list[int] | None = None) -> str:
+    """The class string of a file; `at` receives the place in the text of each class."""
+    text = text if text.endswith("\n") else text + "\n"
+    tokens = LEXER.tokens(text)
+    if at is not None:
+        last = ""
+        for c, p in zip(tokens, LEXER.places(text)):
+            if c and (c != "\n" or last in ENDING):
+                at.append(p)
+            last = c if c != "\n" else "" if last in ENDING else last
+    return _LINE.sub(";", "".join(tokens)).replace("\n", "")

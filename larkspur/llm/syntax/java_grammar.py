@@ -18,9 +18,11 @@ CLASSES["NAME"] = "I" + "".join(CLASSES[k] for k in SOFT)
 CLASSES["TYPENAME"] = "I" + "".join(CLASSES[k] for k in SOFT if k not in ("var", "record", "sealed", "permits", "yield"))
 CLASSES["PRIMITIVE"] = "".join(CLASSES[k] for k in "boolean byte char double float int long short".split())
 CLASSES["MODWORD"] = "".join(CLASSES[k] for k in "public protected private static abstract final native synchronized transient volatile strictfp default".split())
-CLASSES["ASSIGN"] = "".join(CLASSES[k] for k in "= += -= *= /= &= |= ^= %= <<=".split())
+CLASSES["ASSIGN"] = "".join(CLASSES[k] for k in "= += -= *= /= &= |= ^= %= <<= >>=".split())
 CLASSES["BIN"] = "".join(CLASSES[k] for k in "&& || == != <= << + - * / & | ^ % <".split())
 
+CLASSES["CALLED"] = ")}" + CLASSES["++"] + CLASSES["--"]
+
 GRAMMAR = r"""
 file <- annotations? package? (import / ";")* (type / ";")* !. / annotations? (import / ";")* "open"? "module" dotted "{" directive* "}"
 directive <- ("requires" ("transitive" / "static")* / "exports" / "opens" / "uses" / "provides") dotted (("to" / "with") dotted ("," dotted)*)? ";"
@@ -70,7 +72,7 @@ local <- modifiers anytype !"::" !("." / "->") declarator ("," declarator)*
 statement <- block / ";" / "if" parens statement ("else" statement)? / "while" parens statement / for
   / "do" statement "while" parens ";" / "try" try / switch / "synchronized" parens block / "return" expr? ";" / "throw" expr ";"
   / "break" NAME? ";" / "continue" NAME? ";" / "assert" expr (":" expr)? ";" / "yield" !("=" / "." / "(" ")" / "++" / "--" / "[") expr ";" / NAME ":" statement / exprstatement ";"
-exprstatement <- expr
+exprstatement <- ("++" / "--") unary / postfix (ASSIGN / ">" ">>=") expr / !(parens ";") postfix <CALLED>
 parens <- "(" expr ")"
 for <- "for" "(" (modifiers anytype NAME dims ":" expr / (local / exprs)? ";" expr? ";" exprs?) ")" statement
 exprs <- expr ("," expr)*
@@ -81,10 +83,9 @@ finally <- "finally" block
 switch <- "switch" parens "{" (rule+ / group*) "}"
 rule <- label "->" (block / "throw" expr ";" / expr ";")
 group <- (label ":")+ blockstatement*
-label <- "case" caselabel ("," caselabel)* ("when" expr)? / "default"
-caselabel <- "null" / "default" / pattern / ternary
+label <- "case" ternary ("," ternary)* / "default"
 pattern <- modifiers anytype NAME
-expr <- lambda / ternary ((ASSIGN / ">" ">" ">"? "=") expr)?
+expr <- lambda / ternary ((ASSIGN / ">" ">>=") expr)?
 lambda <- (NAME / "(" (NAME ("," NAME)*)? ")" / "(" params ")") "->" (block / expr)
 ternary <- binary ("?" (lambda / expr) ":" (lambda / ternary))?
 binary <- unary (("instanceof" (pattern !"(" / "final"? ref) / (BIN / ">" ">" ">" / ">" ">" / ">" "="? !"=") (lambda / unary)))*
@@ -100,7 +101,7 @@ primary <- NUM / STR / CHAR / "true" / "false" / "null" / "this" arguments? / "s
 creator <- annotations? typeargs? (PRIMITIVE / ref1 / NAME "<" ">") ((annotations? "[" expr "]")+ dims / dim1 dims arrayinit / arguments classbody?)
 """
 
-JAVA = Grammar(GRAMMAR, CLASSES, cached={"block": "()", "blockstatement": ";", "member": ";"}, reaching=CLASSES["if"])
+JAVA = Grammar(GRAMMAR, CLASSES, cached={"block": "()", "blockstatement": ";", "member": ";"}, memo=("expr", "postfix", "primary", "anytype", "ref1"), reaching=CLASSES["if"])
 
 LEXER = Lexer(
     KEYWORDS, OPERATORS, CLASSES,
@@ -110,5 +111,9 @@ LEXER = Lexer(
 )
 
 
-def lex(text: str) -> str:
-    return "".join([c for c in LEXER.tokens(text) if c != "\n"])
+def lex(text: str, at: list[int] | None = None) -> str:
+    """The class string of a file; `at` receives the place in the text of each class."""
+    tokens = LEXER.tokens(text)
+    if at is not None:
+        at.extend(p for c, p in zip(tokens, LEXER.places(text)) if c != "\n" for _ in c)
+    return "".join([c for c in tokens if c != "\n"])

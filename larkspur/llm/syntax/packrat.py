@@ -1,7 +1,7 @@
 """A packrat engine for parsing-expression grammars over strings of token classes.
 
 A grammar is text: ``name <- expression`` with ``/`` (ordered choice), sequence, ``* + ?``, ``&``
-and ``!`` lookahead, parentheses, "quoted tokens", ``UPPER`` token classes and rule names. Every token class is
+and ``!`` lookahead, ``<UPPER>`` (the class of the token before), parentheses, "quoted tokens", ``UPPER`` token classes and rule names. Every token class is
 one character, so a file is a string and a rule maps a position to the end of its match or -1.
 
 Rules are memoised by position. Parts without rule names become one regular expression with possessive operators,
@@ -19,12 +19,14 @@ from dataclasses import dataclass, field
 Match = Callable[[str, int, dict], int]
 #: Stretches remembered across files per grammar; the memory is cleared beyond it (results stay the same).
 REMEMBERED = 400_000
-_TOKEN = re.compile(r'\s+|#[^\n]*|"((?:[^"\\]|\\.)*)"|([A-Za-z_]\w*)(\s*<-)?|([()/*+?&!.])')
+#: The longest stretch remembered.
+LONGEST = 4_000
+_TOKEN = re.compile(r'\s+|#[^\n]*|"((?:[^"\\]|\\.)*)"|<([A-Z]+)>|([A-Za-z_]\w*)(\s*<-)?|([()/*+?&!.])')
 
 
 @dataclass
 class Node:
-    kind: str  # set, ref, seq, alt, star, plus, opt, and, not, any, eof
+    kind: str  # set, behind, ref, seq, alt, star, plus, opt, and, not, any, eof
     items: list["Node"] = field(default_factory=list)
     name: str = ""
     chars: str = ""
@@ -42,9 +44,11 @@ def read(text: str, classes: dict[str, str]) -> dict[str, Node]:
         if m[1] is not None:
             tokens.append(("lit", m[1].replace('\\"', '"')))
         elif m[2]:
-            tokens.append(("def" if m[3] else "name", m[2]))
-        elif m[4]:
-            tokens.append(("op", m[4]))
+            tokens.append(("behind", m[2]))
+        elif m[3]:
+            tokens.append(("def" if m[4] else "name", m[3]))
+        elif m[5]:
+            tokens.append(("op", m[5]))
     rules: dict[str, Node] = {}
     at = 0
 
@@ -62,7 +66,7 @@ def read(text: str, classes: dict[str, str]) -> dict[str, Node]:
     def sequence() -> Node:
         nonlocal at
         parts = []
-        while peek()[0] in ("lit", "name") or peek() in (("op", "("), ("op", "&"), ("op", "!"), ("op", ".")):
+        while peek()[0] in ("lit", "name", "behind") or peek() in (("op", "("), ("op", "&"), ("op", "!"), ("op", ".")):
             prefix = ""
             if peek() in (("op", "&"), ("op", "!")):
                 prefix = peek()[1]
@@ -80,6 +84,8 @@ def read(text: str, classes: dict[str, str]) -> dict[str, Node]:
         at += 1
         if kind == "lit" or (kind == "name" and value.isupper() and value in classes):
             return Node("set", chars=classes[value], name=value)
+        if kind == "behind":
+            return Node("behind", chars=classes[value], name=value)
         if kind == "name":
             return Node("ref", name=value)
         if value == ".":
@@ -140,7 +146,7 @@ class Grammar:
         return value
 
     def _null(self, n: Node, get: dict) -> bool:
-        if n.kind in ("star", "opt", "and", "not"):
+        if n.kind in ("star", "opt", "and", "not", "behind"):
             return True
         if n.kind == "ref":
             return get[n.name]
@@ -160,7 +166,7 @@ class Grammar:
             return None
         if n.kind == "ref":
             return get[n.name]
-        if n.kind in ("and", "not"):
+        if n.kind in ("and", "not", "behind"):
             return frozenset()
         if n.kind in ("star", "plus", "opt"):
             return self._firsts(n.items[0], get)
@@ -186,6 +192,8 @@ class Grammar:
         k = n.kind
         if k == "set":
             return "[" + "".join(re.escape(c) for c in n.chars) + "]"
+        if k == "behind":
+            return "(?<=[" + "".join(re.escape(c) for c in n.chars) + "])"
         if k == "any":
             return r"(?s:.)"
         if k == "ref":
@@ -202,11 +210,19 @@ class Grammar:
     # -- compilation --------------------------------------------------------------------------------------------
 
     def _build(self, fast: bool) -> dict[str, Match]:
+        self._begun: set[str] = set()
         table: dict[str, Match] = {}
-        for i, (name, node) in enumerate(self.rules.items()):
-            table[name] = self._rule(name, i, self._compile(node, table, fast), fast)
+        for name in self.rules:
+            self._demand(name, table, fast)
         return table
 
+    def _demand(self, name: str, table: dict[str, Match], fast: bool) -> Match | None:
+        """A rule's matcher; None while it is being built (the rule is recursive)."""
+        if name not in self._begun:
+            self._begun.add(name)
+            table[name] = self._rule(name, list(self.rules).index(name), self._compile(self.rules[name], table, fast), fast)
+        return table.get(name)
+
     def _rule(self, name: str, number: int, body: Match, fast: bool) -> Match:
         close = self.cached.get(name) if fast else None
         if fast and not close and self.memo and name not in self.memo:
@@ -228,7 +244,7 @@ class Grammar:
                 q = memo["match"].get(p, -1)
             else:
                 q = s.find(close, p)
-            if q < 0:
+            if q < 0 or q - p > LONGEST:
                 return run(s, p, memo)
             piece = s[p : q + 1]
             if piece in known:
@@ -265,8 +281,17 @@ class Grammar:
                 return -1
 
             return terminal
+        if k == "behind":
+            before = n.chars
+
+            def behind(s: str, p: int, memo: dict) -> int:
+                return p if p and s[p - 1] in before else -1
+
+            return behind
         if k == "ref":
             name = n.name
+            if built := self._demand(name, table, fast):
+                return built
 
             def ref(s: str, p: int, memo: dict) -> int:
                 return table[name](s, p, memo)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import tokenize
+from collections.abc import Iterator
 
 from larkspur.llm.syntax.packrat import Grammar
 
@@ -62,8 +63,12 @@ defhead <- NAME typeparams? "(" params? ")" ("->" expr)? ":"
 classdef <- "class" NAME typeparams? ("(" args? ")")? ":" block
 typeparams <- "[" typeparam ("," typeparam)* ","? "]"
 typeparam <- ("*" / "**")? NAME (":" expr)? ("=" expr)?
-params <- param ("," param)* ","?
-param <- "/" / ("*" / "**") NAME (":" "*"? expr)? / "*" / NAME (":" expr)? ("=" expr)?
+params <- (positional ("," rest)? / rest) ","?
+positional <- required ("," required)* ("," "/" ("," required)* ("," optional)* / ("," optional)+ ("," "/" ("," optional)*)?)? / optional ("," optional)* ("," "/" ("," optional)*)?
+required <- NAME (":" expr)? !"="
+optional <- NAME (":" expr)? "=" expr
+rest <- "*" NAME (":" "*"? expr)? ("," keyword)* ("," "**" NAME (":" expr)?)? / "*" ("," keyword)+ ("," "**" NAME (":" expr)?)? / "**" NAME (":" expr)?
+keyword <- NAME (":" expr)? ("=" expr)?
 match <- "match" stars ":" NL INDENT caseblock+ DEDENT
 caseblock <- "case" patterns ("if" named)? ":" block
 patterns <- pattern ("," pattern)* ","?
@@ -78,8 +83,12 @@ stars <- starexpr ("," starexpr)* ","?
 starexpr <- "*" operand (BINOP operand)* / named
 named <- NAME ":=" expr / expr
 expr <- lambda / disjunction ("if" disjunction "else" expr)?
-lambda <- "lambda" (lparam ("," lparam)* ","?)? ":" expr
-lparam <- "/" / ("*" / "**") NAME / "*" / NAME ("=" expr)?
+lambda <- "lambda" ((lpositional ("," lrest)? / lrest) ","?)? ":" expr
+lpositional <- lrequired ("," lrequired)* ("," "/" ("," lrequired)* ("," loptional)* / ("," loptional)+ ("," "/" ("," loptional)*)?)? / loptional ("," loptional)* ("," "/" ("," loptional)*)?
+lrequired <- NAME !"="
+loptional <- NAME "=" expr
+lrest <- "*" NAME ("," lkeyword)* ("," "**" NAME)? / "*" ("," lkeyword)+ ("," "**" NAME)? / "**" NAME
+lkeyword <- NAME ("=" expr)?
 disjunction <- operand (("or" / "and" / COMPARE / BINOP / "not" "in" / "is") operand)*
 sum <- operand (BINOP operand)*
 operand <- ("+" / "-" / "~" / "not")* "await"? primary
@@ -93,9 +102,10 @@ list <- "[" (starexpr comp / stars)? "]"
 braces <- "{" ("**" sum / expr ":" expr comp? / starexpr comp?)? ("," ("**" sum / expr ":" expr / starexpr))* ","? "}"
 comp <- ("async"? "for" targets "in" disjunction ("if" condition)*)+
 condition <- NAME ":=" expr / lambda / disjunction
-args <- (arg !"=" comp !"," / arg ("," arg)* ("," kwarg)* / kwarg ("," kwarg)*) ","?
+args <- (arg !"=" comp !"," / arg ("," arg)* ("," starred)* ("," kwarg)* / starred ("," starred)* ("," kwarg)* / kwarg ("," kwarg)*) ","?
 arg <- "*" expr / named !"="
-kwarg <- "**" expr / NAME "=" expr / "*" expr
+starred <- NAME "=" expr / "*" expr
+kwarg <- "**" expr / NAME "=" expr
 slices <- slice ("," slice)* ","?
 slice <- expr? ":" expr? (":" expr?)? / "*" sum / named
 """
@@ -109,9 +119,10 @@ _STRING = (
 )
 # f-strings whose replacement fields have no quotes, braces or line ends; others take the slow way
 _FSTRING = r"(?:[fF][rR]?|[rR][fF])(?:\"(?!\"\")(?:[^\"\\\n{}]|\\[^\n]|\{\{|\}\}|\{[^{}\"\n\\]*\})*\"|'(?!'')(?:[^'\\\n{}]|\\[^\n]|\{\{|\}\}|\{[^{}'\n\\]*\})*')"
+# names, brackets and line ends come first as the most frequent tokens
 _MASTER = re.compile(
-    rf"[ \t\f]*({_FSTRING}|{_STRING}|(?:[fFtT][rR]?|[rR][fFtT])[\"']|[^\W\d]\w*|{_NUMBER}|\*\*=?|//=?|>>=?|<<=?|\.\.\.|:=|->|[<>=!+\-*/%&|^@]=|[+\-*/%@&|^~<>()\[\]{{}},:.;=]"
-    r"|(?:#[^\n]*)?\n(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*|#[^\n]*|\\\n|\Z|(?s:.))"
+    rf"[ \t\f]*+((?:[^\W\d]\w*+(?![\"']))|[()\[\]{{}},]|\.(?![\d.])|:(?!=)|=(?!=)|(?:#[^\n]*+)?\n(?:[ \t\f]*+(?:#[^\n]*+)?\n)*+[ \t\f]*+|{_FSTRING}|{_STRING}|(?:[fFtT][rR]?|[rR][fFtT])[\"']|[^\W\d]\w*|{_NUMBER}|\*\*=?|//=?|>>=?|<<=?|\.\.\.|:=|->|[<>=!+\-*/%&|^@]=|[+\-*/%@&|^~<>()\[\]{{}},:.;=]"
+    r"|#[^\n]*|\\\n|\Z|(?s:.))"
 )
 _FIELD = re.compile(r"\{\{|\}\}|\{([^{}]*)\}")
 _known: dict[str, str] = {}
@@ -191,8 +202,15 @@ def _widths(indent: str) -> tuple[int, int]:
     return a, len(indent)
 
 
-def lex(text: str) -> str:
-    """The class string of a file (BAD where it has no tokens)."""
+def _traced(text: str, pos: int, span: list[int]) -> Iterator[str]:
+    """The tokens from pos on; `span` holds start and end of the one given last."""
+    for m in _MASTER.finditer(text, pos):
+        span[:] = m.start(1), m.end()
+        yield m[1]
+
+
+def lex(text: str, at: list[int] | None = None) -> str:
+    """The class string of a file (BAD where it has no tokens); `at` receives the place in the text of each class."""
     if "\x00" in text:
         return "\x00"
     out: list[str] = []
@@ -200,11 +218,18 @@ def lex(text: str) -> str:
     depth = 0
     fresh = True
     add, known = out.append, _known.get
+    span = [0, 0]
+    if at is not None:
+
+        def add(c: str) -> None:
+            out.append(c)
+            at.extend([span[c in "\x00\x01\x02"]] * len(c))
+
     text = text if text.endswith("\n") else text + "\n"
     first = re.match(r"(?:[ \t\f]*(?:#[^\n]*)?\n)*([ \t\f]*)", text)
     if first[1] and first.end() < len(text):
         add("\x01")
-    for token in _MASTER.findall(text, first.end()):
+    for token in _MASTER.findall(text, first.end()) if at is None else _traced(text, first.end(), span):
         c = known(token)
         if c is None:
             if token[:1] == "\n" or (token[:1] == "#" and "\n" in token):
@@ -229,7 +254,7 @@ def lex(text: str) -> str:
             if token == "":
                 continue
             if token[-1] in "\"'" and token[0] not in "\"'" and len(token) <= 3 and token[:-1].isalpha():
-                return _slow(text)
+                return _slow(text, at)
             c = _class(token)
         add(c)
         if c:
@@ -249,13 +274,19 @@ def lex(text: str) -> str:
     return "".join(out)
 
 
-def _slow(text: str) -> str:
+def _slow(text: str, at: list[int] | None = None) -> str:
     """The class string by the standard tokenizer, which knows nested f-strings."""
     out: list[str] = []
+    if at is not None:
+        at.clear()
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
     open_: list[list[list]] = []  # per f-string its open fields, each [start of the expression, in conversion or format]
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
             kind = tokenize.tok_name[t.type]
+            if at is not None:  # what the token before gave begins where that began
+                at.extend([place] * (sum(map(len, out)) - len(at)) if out else [])
+                place = starts[min(t.start[0], len(starts)) - 1] + t.start[1]
             if kind in ("NL", "COMMENT", "ENDMARKER", "FSTRING_MIDDLE", "TSTRING_MIDDLE"):
                 continue
             if kind in ("FSTRING_START", "TSTRING_START"):

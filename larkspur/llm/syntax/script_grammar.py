@@ -23,6 +23,9 @@ CLASSES["LABEL"] = "I" + "".join(CLASSES[k] for k in SOFT if k not in ("let", "a
 CLASSES["WORD"] = "I" + "".join(CLASSES[k] for k in KEYWORDS)
 CLASSES["ASSIGN"] = "".join(CLASSES[k] for k in "= += -= *= /= %= &= |= ^= **= <<= >>= >>>= &&= ||= ??=".split())
 CLASSES["BIN"] = "".join(CLASSES[k] for k in "&& || ?? === !== == != <= >= < + - * / % & | ^ ** << in instanceof".split())
+CLASSES["SIGN"] = "".join(CLASSES[k] for k in "delete void typeof + - ! ~".split())
+CLASSES["LOGICAL"] = CLASSES["&&"] + CLASSES["||"]
+CLASSES["ARITHMETIC"] = "".join(c for c in CLASSES["BIN"] if c not in CLASSES["LOGICAL"] + CLASSES["??"])
 CLASSES["MODWORD"] = "".join(CLASSES[k] for k in "public private protected static abstract readonly override declare accessor async".split())
 
 GRAMMAR = r"""
@@ -88,7 +91,8 @@ assign <- arrow / "yield" "*"? assign? / conditional (ASSIGN assign)?
 arrow <- "async"? (NAME / typeparams? params returns?) "=>" (block / !"{" assign)
 conditional <- binary ("?" assign ":" assign)?
 binary <- unary (("as" / "satisfies") (type / "const") / (BIN / ">" ">" ">" / ">" ">" / ">") MARK? unary)*
-unary <- ("delete" / "void" / "typeof" / "await" / "++" / "--" / "+" / "-" / "!" / "~")* ("<" type ">" unary / "#" WORD &"in" / postfix)
+unary <- ("await" / "++" / "--")* (SIGN (SIGN / "await" / "++" / "--")* operand !"**" / operand)
+operand <- "<" type ">" unary / "#" WORD &"in" / postfix
 postfix <- primary tail* ("++" / "--")?
 tail <- ("." / "?.") "#"? WORD / ("?." / MARK &"[")? "[" expr "]" / "?."? call / "!" !"=" / template / typeargs &("(" / "." / "?." / ")" / "]" / ":" / ";" / "," / TBEGIN / "}")
 call <- typeargs? "(" (argument ("," argument)*)? ","? ")"
@@ -121,6 +125,16 @@ typemember <- ("get" / "set") !("(" / ":" / "?" / "<") key params returns?
 """
 
 
+#: Rules of plain JavaScript: what may be assigned to, and no ?? beside && or ||.
+_STRICTER = {
+    "assign": """arrow / "yield" "*"? assign? / conditional !ASSIGN / (array / object) "=" assign / target ASSIGN assign
+target <- primary (link &link)* (("." "#"? WORD) / (MARK &"[")? "[" expr "]") / NAME / "(" target ")"
+link <- "." "#"? WORD / (MARK &"[")? "[" expr "]" / call / template""",
+    "binary": """operation (("??" MARK? operation)+ !LOGICAL / (LOGICAL MARK? operation)* !"??")
+operation <- unary ((ARITHMETIC / ">" ">" ">" / ">" ">" / ">") MARK? unary)*""",
+}
+
+
 def _without_types(text: str) -> str:
     """The grammar of plain JavaScript: no rule of the type language matches, and its marks are gone from the others."""
     never = {"typed", "type", "predicate", "typeparams", "typeargs", "typeref", "decorator", "objecttype", "functype", "uniontype", "mapped"}
@@ -145,14 +159,17 @@ def _without_types(text: str) -> str:
         plain = plain.replace(mark, " / assign eos" if "interface" in mark else "")
     plain = plain.replace('STR / "type"? clause', "STR / clause").replace('"type"? "*"', '"*"').replace('"type"? names', "names")
     plain = plain.replace('name <- "type" (WORD / STR) "as" NAME / "type" &(WORD / STR) (WORD / STR) / ', "name <- ").replace('("as" / "satisfies") (type / "const")', "!. .")
+    for rule, body in _STRICTER.items():  # errors that TypeScript's parser leaves to its checker
+        plain = re.sub(rf"(?m)^{rule} <- .*$", lambda m, r=rule, b=body: f"{r} <- {b}", plain)
     plain = plain.replace(' / decorators? modifiers "[" NAME ":" type "]" ":" type eos', "")
     return plain.replace("  \n", "\n")
 
 
 CLASSES["STATIC"], CLASSES["ASYNC"] = CLASSES["static"] + CLASSES["accessor"], CLASSES["async"]
 _CACHED = {"block": "()", "statement": ";", "object": "()"}
-TYPESCRIPT = Grammar(GRAMMAR, CLASSES, cached=_CACHED, reaching=CLASSES["if"])
-JAVASCRIPT = Grammar(_without_types(GRAMMAR), CLASSES, cached=_CACHED, reaching=CLASSES["if"])
+_MEMO = ("assign", "binary", "postfix", "primary", "type")
+TYPESCRIPT = Grammar(GRAMMAR, CLASSES, cached=_CACHED, memo=_MEMO, reaching=CLASSES["if"])
+JAVASCRIPT = Grammar(_without_types(GRAMMAR), CLASSES, cached=_CACHED, memo=_MEMO, reaching=CLASSES["if"])
 
 _REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"
 _BEFORE_REGEX = r"=>|\|\||&&|\?\?|[=(,:\[!&|?{};+\-*%~^<>]"
@@ -163,6 +180,8 @@ LEXER = Lexer(
     literals=rf"(?:{_BEFORE_REGEX})\s*{_REGEX}|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'|{_TEMPLATE}",
     numbers=r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?n?",
     words=_WORDS,
+    often=r"[)\]]|\.(?![\d.])|[,;](?!\s*/)|\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*'",
+    line_end="\r",
 )
 _SPLIT = re.compile(rf"(?s)({_BEFORE_REGEX})\s*({_REGEX})\Z")
 _SUBST = re.compile(r"\\(?s:.)|\$\{((?:[^{}`]|\{[^{}`]*\})*)\}")
@@ -184,7 +203,7 @@ def _classify(token: str) -> str:
         if "${" not in token:
             return "«»" if len(token) > 1 else "\x00"
         parts = [m[1] for m in _SUBST.finditer(token) if m[1] is not None]
-        return "«" + "¦".join(_line_ends([_of(t) for t in LEXER.master.findall(p)]) for p in parts) + "»" if parts else "«»"
+        return "«" + "¦".join(_line_ends("".join(_of(t) for t in LEXER.master.findall(p))) for p in parts) + "»" if parts else "«»"
     m = _SPLIT.match(token) if "/" in token and len(token) > 2 else None
     return _of(m[1]) + "R" if m else Lexer.classify(LEXER, token)
 
@@ -193,47 +212,90 @@ LEXER.classify = _classify  # type: ignore[method-assign]
 _of = LEXER.of
 
 
-def _line_ends(tokens: list[str]) -> str:
-    """Line ends become ; after what can end a statement, a mark after }, or nothing where the next line goes on."""
-    out: list[str] = []
-    add = out.append
-    last, waiting = "", False
-    for c in tokens:
-        if c == "\n":
-            waiting = True
-            continue
-        if not c:
-            continue
-        if waiting:
-            waiting = False
-            head = c[0]
-            if last in ("}", ">"):
-                if (last == "}" or head != "{") and head not in _GOES_ON and head not in _NO_MARK:
-                    add("\n")
-            elif last in _RESTRICTED or (last in _ENDS and (head not in _GOES_ON or head == "[" or head in (_C["++"], _C["--"]))):
-                if head == "[":
-                    add("\n")
-                elif head in "};" or (head == "{" and last not in _RESTRICTED) or (last == ")" and _is_head(out)):
-                    pass
-                else:
-                    add(";")
-        add(c)
-        last = c[-1]
+_BOTH = _ENDS | _RESTRICTED
+
+
+def _at_line_end(last: str, head: str) -> str:
+    """What a line end between two classes is: ; after what can end a statement, a mark after }, or nothing where the next line goes on."""
+    if last in "}>":
+        return "\n" if (last == "}" or head != "{") and head not in _GOES_ON and head not in _NO_MARK else ""
+    if last not in _BOTH or (last not in _RESTRICTED and head in _GOES_ON and head != "["):
+        return ""
+    if head == "[":
+        return "\n"
+    return "" if head in "};" or (head == "{" and last not in _RESTRICTED) else ";"
+
+
+class _Decisions(dict):
+    def __missing__(self, pair: str) -> str:
+        self[pair] = out = _at_line_end(pair[0], pair[1])
+        return out
+
+
+_DECISIONS = _Decisions()
+_RUN = re.compile("\r+")
+
+
+def _line_ends(classes_: str, at: list[int] | None = None) -> str:
+    """The classes with every run of line ends decided; `at`, the place of each class, is brought in line."""
+    lines = _RUN.split(classes_)
+    if len(lines) == 1:
+        return classes_
+    out = [lines[0]]
+    decided, before = _DECISIONS, lines[0]
+    for line in lines[1:]:
+        if line:
+            if before:
+                c = decided[before[-1] + line[0]]
+                if c == ";" and before[-1] == ")" and _is_head(out):
+                    c = ""
+                out.append(c)
+            out.append(line)
+            before = line
+    if at is not None:
+        old, at[:] = at[:], []
+        i = 0
+        for piece, sep in zip([*_RUN.split(classes_), ""], [*_RUN.finditer(classes_), None]):
+            at += old[i : i + len(piece)]
+            i += len(piece)
+            at_sep = old[i] if sep else 0
+            i += len(sep[0]) if sep else 0
+            at.append(at_sep)
+        at[:] = _kept(lines, out, at)
     return "".join(out)
 
 
+def _kept(lines: list[str], out: list[str], at: list[int]) -> list[int]:
+    """The places of `out` from those of `lines` with one place for the end of each."""
+    kept: list[int] = []
+    i, pieces = 0, iter(out)
+    before = ""
+    for n, line in enumerate(lines):
+        if n == 0:
+            next(pieces)
+        elif line:
+            if before:
+                kept += [at[i - 1]] * len(next(pieces))
+            next(pieces)
+        kept += at[i : i + len(line)]
+        before = line or before
+        i += len(line) + 1
+    return kept
+
+
 def _is_head(out: list[str]) -> bool:
     """Whether the last ) closes the head of an if, for, while or with."""
-    depth = 0
+    depth, text = 0, ""
     for i in range(len(out) - 1, -1, -1):
-        for c in reversed(out[i]):
+        for j in range(len(out[i]) - 1, -1, -1):
+            c = out[i][j]
             if c == ")":
                 depth += 1
             elif c == "(":
                 depth -= 1
                 if depth == 0:
-                    before = out[i - 1][-1] if i else ""
-                    return before in _HEADS or (before == _C["await"] and i > 1 and out[i - 2][-1] == _C["for"])
+                    text = "".join(out[max(0, i - 4) : i]) + out[i][:j]
+                    return text[-1:] in _HEADS or (text[-1:] == _C["await"] and text[-2:-1] == _C["for"])
     return False
 
 
@@ -246,33 +308,49 @@ _JSX_SPACE = re.compile(r"(?:\s|/\*(?s:.*?)\*/|//[^\n]*\n)*")
 
 _REGEX_AT = re.compile(_REGEX)
 #: Classes after which a slash begins a regular expression.
-_REGEX_AFTER = set("\n=(,:[!&|?{};+-*%~^<>\x00") | {
+_REGEX_AFTER = set("\r=(,:[!&|?{};+-*%~^<>\x00") | {
     _C[k] for k in "=> && || ?? === !== == != <= >= return typeof case in of delete void throw new else do await yield default instanceof".split()
 }
 _KEYWORD_SLASH = re.compile("[" + "".join(_C[k] for k in "return typeof case in of delete void throw new else do await yield default instanceof".split()) + "][/]")
 
 
-def lex(text: str, dialect: str = "tsx") -> str:
-    """The class string of a file; `dialect` is ts (no markup) or tsx (with markup).
+def lex(text: str, dialect: str = "tsx", at: list[int] | None = None) -> str:
+    """The class string of a file; `dialect` is ts (no markup) or tsx (with markup); `at` receives the place in the text of each class.
 
     Texts without markup, nested templates and regular expressions after keywords take the fast way; others are scanned with state.
     """
-    mark = ""
+    mark, first = "", 0
     if text.startswith("#!"):
-        text, mark = text.partition("\n")[2], "H"
+        first = text.find("\n") + 1 or len(text)
+        text, mark = text[first:], "H"
     markup = dialect != "ts" and bool(_MARKUP.search(text))
     if not markup:
         tokens = LEXER.tokens(text)
-        s = _line_ends(tokens)
-        if not ("`" in text and "\x00" in s) and not _KEYWORD_SLASH.search(s):
-            return mark + s
-    return mark + _line_ends(_scan(text, 0, markup)[0])
-
-
-def _scan(text: str, pos: int, markup: bool, inside: bool = False) -> tuple[list[str], int]:
-    """The classes from pos on and the end; `inside` stops after the brace that closes the one at pos (-1 if there is none)."""
+        joined = "".join(tokens)
+        if not ("`" in text and "\x00" in joined) and not _KEYWORD_SLASH.search(joined):
+            if at is not None:
+                at.extend(p for c, p in zip(tokens, LEXER.places(text)) for _ in c)
+            return mark + _shifted(joined, first, at)
+    starts: list[int] = []
+    tokens = _scan(text, 0, markup, starts=starts)[0]
+    if at is not None:
+        at.extend(p for c, p in zip(tokens, starts) for _ in c)
+    return mark + _shifted("".join(tokens), first, at)
+
+
+def _shifted(joined: str, first: int, at: list[int] | None) -> str:
+    """The decided classes; places are counted from the start of the file, of which `first` characters are a hashbang."""
+    out = _line_ends(joined, at)
+    if at is not None:
+        at[:] = ([0] if first else []) + [p + first for p in at]
+    return out
+
+
+def _scan(text: str, pos: int, markup: bool, inside: bool = False, starts: list[int] | None = None) -> tuple[list[str], int]:
+    """The classes from pos on, whose places `starts` receives, and the end; `inside` stops after the brace that closes the one at pos (-1 if there is none)."""
     out: list[str] = []
-    last, n, depth = "\n", len(text), 0
+    starts = [] if starts is None else starts
+    last, n, depth = "\r", len(text), 0
     match = LEXER.master.match
     while pos < n:
         m = match(text, pos)
@@ -284,12 +362,14 @@ def _scan(text: str, pos: int, markup: bool, inside: bool = False) -> tuple[list
             pieces, end = _element(text, at, markup)
         if end > 0:
             out.append("«" + "¦".join(pieces) + "»")
+            starts.append(at)
             last, pos = "»", end
             continue
         if token in ("/", "/=") and last in _REGEX_AFTER:
             r = _REGEX_AT.match(text, at)
             if r:
                 out.append("R")
+                starts.append(at)
                 last, pos = "R", r.end()
                 continue
         c = "\x00" if token[:1] == "`" else _of(token)
@@ -307,7 +387,8 @@ def _scan(text: str, pos: int, markup: bool, inside: bool = False) -> tuple[list
                     return out, pos
         if c:
             out.append(c)
-            last = c[-1] if c != "\n" else last
+            starts.append(at)
+            last = c[-1] if c != "\r" else last
     return out, -1 if inside else pos
 
 
@@ -397,4 +478,4 @@ def _element(text: str, pos: int, markup: bool = True) -> tuple[list[str], int]:
 def _braces(text: str, pos: int, markup: bool) -> tuple[str, int]:
     """The classes between the brace at pos and its partner, and the end."""
     out, end = _scan(text, pos, markup, True)
-    return _line_ends(out), end
+    return _line_ends("".join(out)), end
