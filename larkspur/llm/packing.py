@@ -22,6 +22,8 @@ from larkspur.llm.tokens import VOCABULARY, n_tokens
 from larkspur.plans.durable import checkpoint, salted_rank
 
 CAPACITY = 2048
+#: Items of one length that are ranked in one task.
+PER_SALT = 50_000
 
 
 class SumIndex:
@@ -188,7 +190,9 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     Null and empty texts have no tokens, need no room and give no row. Repeated rows are separate items
     (`row` tells them apart); a null doc_id is kept as it is.
     """
-    sized = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), n_tokens(F.col("text"), vocabulary).alias("n")).filter("n > 0")
+    # every other text has a token; a filter on the count would have it counted twice
+    filled = documents.filter("text is not null and text != ''")
+    sized = filled.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), n_tokens(F.col("text"), vocabulary).alias("n"))
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity)))
     length = F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int")
     return sized.select("doc_id", "row", "n", cut.alias("piece")).select("doc_id", "row", "piece", length.alias("length"))
@@ -207,7 +211,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
     shared = items.sparkSession.sparkContext.broadcast(
         (table["length"].to_numpy(np.int64), table["start"].to_numpy(np.int64), table["each"].to_numpy(np.int64), table["container"].to_numpy(np.int64))
     )
-    ranked = salted_rank(items, ["length"], ["doc_id", "row", "piece", "copy"], "rank").select("doc_id", "piece", "length", "rank")
+    # one length may be that of most items (all pieces of long texts have the capacity): as many salts as its items need
+    salts = max(1, -(-int(counts.max()) // PER_SALT))
+    ranked = salted_rank(items, ["length"], ["doc_id", "row", "piece", "copy"], "rank", salts).select("doc_id", "piece", "length", "rank")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lengths, starts, each, first = shared.value
@@ -222,12 +228,17 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(container_id, doc_ids, fill, room): a container holds at most `capacity` items, so its list is bounded."""
+    """(container_id, doc_ids, pieces, first_tokens, fill, room): a container holds at most `capacity` items, so its lists are bounded.
+
+    pieces and first_tokens go with doc_ids: the number of the piece of the text (0 for a whole one) and the place of its first token.
+    """
     placed = pack(documents, capacity, vocabulary)
     return placed.groupBy("container_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "piece"))), lambda x: x["doc_id"]).alias("doc_ids"),
-        F.sum("length").cast("long").alias("fill"),
-    ).withColumn("room", F.lit(capacity) - F.col("fill"))
+        F.array_sort(F.collect_list(F.struct("doc_id", "piece"))).alias("_items"), F.sum("length").cast("long").alias("fill"),
+    ).select(
+        "container_id", F.col("_items.doc_id").alias("doc_ids"), F.col("_items.piece").alias("pieces"), F.transform("_items.piece", lambda p: p * capacity).alias("first_tokens"),
+        "fill", (F.lit(capacity) - F.col("fill")).alias("room"),
+    )
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
