@@ -21,6 +21,8 @@ BLOCK = 512
 PIECES = 4096
 #: Slots numbered together in a task.
 RUN = 65536
+#: Equal stretches of the weights' range within which points look their source up.
+CELLS = 4096
 
 
 def source_name(source: Column) -> Column:
@@ -40,7 +42,7 @@ def stock(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
         named.join(wanted, "source", "left_semi").groupBy(F.sha2("text", 256).alias("_h"))
         .agg(F.min(F.struct("doc_id", "source", "text")).alias("d"))
     )
-    return once.select("d.source", "d.doc_id", n_tokens(F.col("d.text"), vocabulary).alias("tokens")).filter("tokens > 0")
+    return once.select("d.source", "d.doc_id", n_tokens(F.col("d.text"), vocabulary).alias("tokens"))
 
 
 def plan(stocked: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -64,11 +66,16 @@ def plan(stocked: DataFrame, targets: DataFrame, total_tokens: int | None = None
 
 
 def schedule(weights: DataFrame, n_slots: int) -> DataFrame:
-    """(slot, source, rank): rank counts the slots of the source from 0 in the order of the sequence."""
+    """(slot, source, rank): rank counts the slots of the source from 0 in the order of the sequence.
+
+    A point meets only the sources whose stretch reaches into its cell: an equi-join, whatever the number of sources.
+    """
     spark = weights.sparkSession
     points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0)).alias("u"))
-    spans = F.broadcast(weights.select("source", "low", "high"))  # one row per target
-    mine = points.join(spans, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "source")
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
+    spans = weights.select("source", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    met = points.withColumn("cell", cell(F.col("u"))).join(small(spans, weights.count() + CELLS), "cell")
+    mine = met.filter("u >= low and u < high").select("slot", "source")
     mine = mine.withColumn("run", F.floor(F.col("slot") / RUN)).withColumn("one", F.lit(1))
     return running_start(mine, ["source"], "run", ["slot"], "one", "rank").select("slot", "source", "rank")
 
@@ -80,50 +87,37 @@ def _shuffled(df: DataFrame, *seed: Column) -> DataFrame:
 
 
 def _partial(laid: DataFrame, n: int, seed: int) -> DataFrame:
-    """The texts of the last, incomplete repeat of each source: `part` tokens in the order of a hash.
-
-    Texts longer than 1/64 of the part are drawn first, each with the part's share of the source as its
-    chance, as one of them at the end would leave a large gap; the others then fill the rest to half a text. Where they
-    are too few for that, `_filled` takes more of the long ones first.
-    """
+    """The texts of the last, incomplete repeat of each source: those first in the order of a hash whose sum stays within `part` tokens, and what fills the gap."""
     hashed = _shuffled(laid.filter("part > 0"), F.lit(seed), F.lit(-1).cast("long"))
-    long_ = F.col("tokens") * 64 > F.col("part")
-    chance = F.col("_h") / F.lit(2.0**64) + 0.5
-    lucky, fits = chance < F.col("part") / F.greatest("held", F.lit(1)), F.col("_before") + F.col("tokens") <= F.col("part")
-    tried = running_start(hashed.filter(long_ & lucky), ["source"], "_piece", ["_h", "doc_id"], "tokens", "_before")
-    first, others = tried.filter(fits).drop("_before"), tried.filter(~fits).drop("_before").unionByName(hashed.filter(long_ & ~lucky))
-    sums = hashed.groupBy("source").agg(F.sum(F.when(~long_, F.col("tokens")).otherwise(0)).alias("_short"))
-    sums = sums.join(first.groupBy("source").agg(F.sum("tokens").alias("_first")), "source", "left").na.fill(0, ["_first"])
-    drawn = first.unionByName(_filled(others.join(small(sums, n), "source")).select(first.columns))
-    taken = drawn.groupBy("source").agg(F.sum("tokens").alias("_taken"))
-    rest = running_start(hashed.filter(~long_), ["source"], "_piece", ["_h", "doc_id"], "tokens", "_before")
-    rest = rest.join(small(taken, n), "source", "left").filter(F.coalesce("_taken", F.lit(0)) + F.col("_before") + F.col("tokens") / 2 <= F.col("part"))
-    return drawn.unionByName(rest.drop("_before", "_taken"))
+    summed = checkpoint(running_start(hashed, ["source"], "_piece", ["_h", "doc_id"], "tokens", "_before"))
+    inside = F.col("_before") + F.col("tokens") <= F.col("part")
+    first, others = summed.filter(inside), summed.filter(~inside)
+    gaps = others.select("source", "part").distinct().join(first.groupBy("source").agg(F.sum("tokens").alias("_first")), "source", "left")
+    gaps = gaps.select("source", (F.col("part") - F.coalesce("_first", F.lit(0))).alias("_gap"))
+    return first.unionByName(_filled(others.join(small(gaps, n), "source")).select(first.columns)).drop("_before")
 
 
 def _filled(others: DataFrame) -> DataFrame:
-    """Of the long texts not drawn, those that sources need whose short texts (`_short` tokens) do not fill what the drawn ones (`_first`) leave.
+    """Of the texts not drawn, those that fill the `_gap` their source has left: the largest that fits, by hash among equals, until none fits.
 
-    The largest that fits, by hash among equals, until the short ones can fill the rest. If they still cannot, the
-    smallest one left is taken too where that ends closer to the part, so a source is off by half of an unused text at most.
+    If the smallest one left ends closer to the part than leaving it out does, it is taken too, so a source is off by half of an unused text at most.
     """
-    gap = F.col("part") - F.col("_first")
-    need = others.withColumn("_gap", gap).withColumn("_need", gap - F.col("_short")).filter("_need > 0 and tokens < 2 * _gap")
-    # more texts of one length than fit, and one, are of no use: a source meets in one task with few rows
-    place = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("_h", "doc_id"))
-    some = need.withColumn("_place", place).filter(F.col("_place") <= F.floor(F.col("_gap") / F.col("tokens")) + 1).drop("_place")
+    # more texts of one length than fit, and one, are of no use, so a source meets in one task with few rows; first within pieces, as one length may be half of all rows
+    enough = F.floor(F.col("_gap") / F.col("tokens")) + 1
+    some = others.filter("_gap > 0 and tokens < 2 * _gap")
+    for keys in (["source", "tokens", "_piece"], ["source", "tokens"]):
+        some = some.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).filter(F.col("_place") <= enough).drop("_place")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tokens", "_h", "doc_id"], ascending=[False, True, True], ignore_index=True)
-        gap, need = int(rows["_gap"].iloc[0]), int(rows["_need"].iloc[0])
-        taken, least = [], None
+        gap, taken, least = int(rows["_gap"].iloc[0]), [], None
         for i, t in enumerate(rows["tokens"].tolist()):
-            if need > 0 and t <= gap:
+            if t <= gap:
                 taken.append(i)
-                gap, need = gap - t, need - t
+                gap -= t
             else:
                 least = i
-        if need > 0 and least is not None and int(rows["tokens"].iloc[least]) - gap < need:
+        if least is not None and int(rows["tokens"].iloc[least]) < 2 * gap:
             taken.append(least)
         return rows.iloc[taken]
 
@@ -134,8 +128,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """The mixture (slot, source, doc_id, epoch, tokens) and its weights (see `plan`, with the tokens wanted in all).
 
     `total_tokens` defaults to the tokens of all distinct texts of the targeted sources. A text belongs to the slot in
-    which it begins; the last text of a source is in if at least half of it fits the source's part. A source that cannot
-    fill its part even with every repeat allowed fills only its first slots. Texts longer than their source's part are not used.
+    which it begins. A source that cannot
+    fill its part even with every repeat allowed fills only its first slots. Texts longer than their source's part cannot be used
+    without passing it; the weights count them (`too_long`, `too_long_tokens`).
     """
     stocked = checkpoint(stock(documents, targets, vocabulary))
     weights = plan(stocked, targets)
@@ -144,9 +139,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     weights = checkpoint(weights.withColumn("wanted", F.round(F.col("share") * F.lit(int(total_tokens))).cast("long")))
     n = weights.count()
     # a text longer than its source's whole part can never be in; what is left counts as the source's stock
-    fits = stocked.join(small(weights.select("source", "wanted"), n), "source").filter("tokens <= wanted").drop("wanted")
-    stockable = fits.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("tokens").alias("held"))
-    weights = checkpoint(weights.drop("texts", "held").join(stockable, "source", "left").na.fill(0, ["texts", "held"]))
+    sized = stocked.join(small(weights.select("source", "wanted"), n), "source")
+    fits, usable = sized.filter("tokens <= wanted").drop("wanted"), F.col("tokens") <= F.col("wanted")
+    stockable = sized.groupBy("source").agg(
+        F.count_if(usable).alias("texts"), F.sum(F.when(usable, F.col("tokens")).otherwise(0)).alias("held"), F.count_if(~usable).alias("too_long"), F.sum(F.when(~usable, F.col("tokens")).otherwise(0)).alias("too_long_tokens")
+    )
+    weights = checkpoint(weights.drop("texts", "held").join(stockable, "source", "left").na.fill(0, ["texts", "held", "too_long", "too_long_tokens"]))
     n_slots = -(-int(total_tokens) // block)
     laid = fits.join(small(weights.select("source", "held", "wanted", "max_repeats"), n), "source").filter("wanted > 0")
     laid = laid.withColumn("full", F.least(F.col("max_repeats").cast("long"), F.floor(F.col("wanted") / F.greatest("held", F.lit(1)))))
@@ -165,10 +163,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 
 def shares(mixture: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, target_share, wanted_tokens, reached_tokens, reached_share, share_of_wanted, texts_used, most_repeats, fell_short), one row per target.
+    """(source, target_share, wanted_tokens, reached_tokens, reached_share, share_of_wanted, texts_used, most_repeats, texts_too_long, fell_short), one row per target.
 
-    reached_share is of the mixture's tokens, share_of_wanted of those wanted in all (what sources that fell short leave open is not given to others). 
-    A source fell short if it holds less than its part even with all repeats, or stays below it by more than the half short text (1/128) that the filling may leave.
+    reached_share is of the mixture's tokens, share_of_wanted of those wanted in all (what sources that fell short leave open is not given to others).
+    A source fell short if it holds less than its part even with all repeats, or stays below it by more than 1/128, whatever the cause.
     """
     got = mixture.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k")).groupBy("source").agg(
         F.sum("t").alias("reached_tokens"), F.count(F.lit(1)).alias("texts_used"), F.max("k").alias("most_repeats")
@@ -179,6 +177,6 @@ def shares(mixture: DataFrame, weights: DataFrame) -> DataFrame:
         "source", F.round("share", 6).alias("target_share"), F.col("wanted").alias("wanted_tokens"), "reached_tokens",
         F.round(F.col("reached_tokens") / total, 6).alias("reached_share"),
         F.round(F.col("reached_tokens") / F.nullif(F.sum("wanted").over(Window.partitionBy()), F.lit(0)), 6).alias("share_of_wanted"),
-        "texts_used", "most_repeats",
+        "texts_used", "most_repeats", F.col("too_long").alias("texts_too_long"),
         ((F.col("held") * F.col("max_repeats") < F.col("wanted")) | ((F.col("wanted") - F.col("reached_tokens")) * 128 > F.col("wanted"))).alias("fell_short"),
     )
