@@ -3,7 +3,8 @@
 Three kinds of evidence, each a boolean column of `classify`:
 
 * vendored: Merkle hashes are computed bottom-up, blocks of a file -> file -> directories. A file or directory whose
-  hash occurs in several repositories is a shared subtree; a file most of whose blocks do is a changed copy. Directory
+  hash occurs in several repositories is a shared subtree; a file most of whose blocks do is a changed copy, and a directory most
+  of whose files are shared or changed copies is one as a whole (`evidence` has these columns apart from the others). Directory
   names that are reserved for other people's code and headers of outside projects count as well.
 * generated: the leading comment says so, or the layout does (the same line with other numbers again and again).
 * packed / bulk data: the text is mostly very long lines almost without blanks, or rows of literals.
@@ -21,24 +22,28 @@ VENDOR_DIRS = ("node_modules", "vendor", "_vendor", "third_party", "thirdparty",
 #: Name endings of tools that pack or generate.
 PACKED_NAMES = r"(?i)(\.min|[.-]bundle|\.packed)\.[cm]?[jt]sx?$"
 GENERATED_NAMES = r"(?i)(\.(gen|g|pb|pb\.gw|generated)\.\w+|_pb2(_grpc)?\.py|_stubs_gen\.\w+|_generated\.\w+|outerclass\.java)$"
-#: What generators write about themselves in a leading comment.
-GENERATED_HEAD = (
-    r"(?i)(code generated by\b.*\bdo not edit|@generated\b|<auto-?generated\b|\bauto-?generated (file|code|from|by|on)\b|^\W*(this|the) (file|code) (was|is|has been) (automatically )?"
-    r"(generated|produced|created) by (?!hand)|\bgenerated (by|from|with) .*(do not|don't) (edit|modify)|\bmachine-?(made|generated) by\b|\boutput of `|\bhand edits do not survive"
-    r"|\bedits (are|will be) (overwritten|lost)|\byour changes will be lost|\bregenerate instead|\bchange \S+ and run \S+ again|^\W*\w+ output, (input|source) digest\b)"
-)
-#: What outside projects' files say in a leading comment: where they are from, or the licence of other authors.
-VENDORED_HEAD = (
-    r"(?i)(\bvendored from\b|^\W*origin: .*\b(imported|copied|taken)\b|\b(copied|imported|taken|adapted) (verbatim |unchanged )?from (the )?\S+ (project|release|repository)\b"
-    r"|\(c\) \d{4}(-\d{4})?,? the \S+ (contributors|authors|developers)|copyright (\(c\) )?\d{4}(-\d{4})?,? (by )?the \S+ (authors|contributors|developers|project)"
-    r"|\bredistribution and use in source\b|\bpermission is hereby granted, free of charge|^\s*/\*! \S+ (v?\d|bundle))"
-)
-PACKED_HEAD = r"(?i)(^\s*/\*! \S+ bundle|^\W*packed\b)"
+_MADE = r"(?:generated|produced|emitted|created|made|built|written|compiled)"
+#: How a leading comment says that its file was made by a program: of the file itself, by what it was made, or what becomes of edits. General forms, not sentences of any tool.
+GENERATED_HEAD = "(?i)(" + "|".join([
+    r"@generated\b", r"<auto-?generated\b", rf"\b(?:auto|automatically|machine)[- ]?{_MADE}\b", rf"^\W*(?:(?:this|the|all) )?(?:file|code|source|module|content)s? (?:(?:was|is|were|are|has been|have been) )?(?:\w+ly )?{_MADE} (?:by|from|with|using|at|on)\b(?! hand)",
+    rf"^\W*{_MADE} (?:by|from|with|using) (?!hand\b|us\b|me\b)", r"^\W*(?:the )?output of\b", r"^\W*\S+ output\b[,;:.]", r"\b(?:do not|don't|never) (?:edit|modify|change|touch)\b", r"\bnot (?:to be|meant to be) (?:edited|modified)\b",
+    r"\b(?:edits?|changes|modifications)\b.{0,40}\b(?:lost|overwritten|discarded|survive|replaced|reverted|undone)\b", r"\b(?:re-?generate|re-?run)\b.{0,40}\binstead\b", r"\b(?:change|edit) \S+ and (?:run|rerun|re-run)\b",
+]) + ")"
+#: What outside projects' files say in a leading comment: where they are from, or that their rights are with the authors of a project. General forms.
+VENDORED_HEAD = "(?i)(" + "|".join([
+    r"\bvendored (?:from|copy|in)\b", r"^\W*(?:origin|upstream|original source|source): .*\b(?:imported|copied|taken|release|version|licen[cs]e)\b", r"\b(?:copied|imported|taken|adapted|borrowed|forked) (?:\w+ )?from (?:the )?\S+ (?:project|release|repository|library|package|v?\d)",
+    r"(?:\(c\)|\x{A9}|copyright) (?:\(c\) )?\d{4}(?:-\d{4})?,? (?:by )?the \S+ (?:contributors|authors|developers|project|team|foundation)", r"\bredistribution and use in source\b", r"\bpermission is hereby granted, free of charge", r"^\s*/\*! \S+ v?\d",
+]) + ")"
+PACKED_HEAD = r"(?i)(^\s*/\*! \S+ (?:\S+ )?bundle|^\W*(?:packed|minified|bundled)\b)"
 #: The comment lines and blanks before a file's first other line.
 HEAD = r"\A\x{FEFF}?(?:\s*(?://[^\n]*|#[^\n]*|/\*(?s:.*?)\*/|--[^\n]*|<!--(?s:.*?)-->)(?:\n|\z))+"
-#: Characters from which a subtree can be a shared one; smaller texts are alike by chance.
+#: Characters from which equality means a copy. Smaller files and blocks have their place in the tree, but are alike by chance.
 LEAST_SHARED = 400
 LEAST_BLOCK = 80
+#: Share of the characters of larger blocks from which a file is a changed copy.
+MOST = 0.6
+#: A directory is one of copies with so many of them and that share of its characters: what lies beside a few copies may well be hand-written.
+DIR_COPIES, DIR_SHARE = 3, 0.8
 
 
 def files(source: DataFrame) -> DataFrame:
@@ -73,35 +78,43 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def shared_subtrees(source: DataFrame) -> DataFrame:
-    """(file_id, shared_file, shared_dir, shared_blocks): which parts of the Merkle tree above and below a file occur in other repositories.
+    """(file_id, shared_file, shared_dir, shared_blocks, mostly_shared_dir): which parts of the Merkle tree at and above a file occur in other repositories.
 
-    shared_blocks is the share of the characters of the file's larger blocks. Texts under `LEAST_SHARED` characters share nothing.
+    Every file with content is in the tree. shared_blocks is the share of a file's characters in larger blocks that others have too; mostly_shared_dir says
+    that the file lies in a directory that consists of shared files and changed copies (`DIR_COPIES`, `DIR_SHARE`).
     """
-    text = files(source).filter(F.length("text") >= LEAST_SHARED)
+    text = files(source)
     # imports and comments open many files alike, so they are no blocks
-    cut = F.filter(F.split("text", r"\n\s*\n"), lambda b: (F.length(b) >= LEAST_BLOCK) & ~b.rlike(r"^\s*(import |from |package |//|#|/\*|\*)"))
+    cut = F.filter(F.split("text", r"\n\s*\n"), lambda b: ~b.rlike(r"^\s*($|import |from |package |//|#|/\*|\*)"))
     blocks = F.transform(cut, lambda b: F.struct(F.xxhash64(F.trim(b)).alias("hash"), F.length(b).alias("size")))
     leaves = checkpoint(text.select("file_id", "repository", "file_path", F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("size"), blocks.alias("blocks")))
     tree = leaves.select("repository", F.col("file_path").alias("path"), "hash", "size").distinct()
-    same = _shared(tree).withColumn("shared_file", F.lit(True))
-    own = leaves.select("file_id", "repository", "file_path", "hash").join(same, "hash", "left")
+    same = _shared(tree.filter(F.col("size") >= LEAST_SHARED)).withColumn("shared_file", F.lit(True))
+    own = leaves.select("file_id", "repository", "file_path", "hash", "size").join(same, "hash", "left")
     parts = leaves.select("file_id", "repository", F.explode("blocks").alias("b")).select("file_id", "repository", "b.hash", "b.size")
-    common = _shared(parts.select("repository", "hash").distinct()).withColumn("common", F.lit(1))
-    share = parts.join(common, "hash", "left").groupBy("file_id").agg(
-        (F.sum(F.when(F.col("common") == 1, F.col("size")).otherwise(F.lit(0))) / F.sum("size")).alias("shared_blocks")
-    )
-    out = own.join(share, "file_id", "left")
+    large = F.col("size") >= LEAST_BLOCK
+    common = _shared(parts.filter(large).select("repository", "hash").distinct()).withColumn("common", F.lit(1))
+    share = parts.filter(large).join(common, "hash", "left").groupBy("file_id").agg((F.sum(F.when(F.col("common") == 1, F.col("size")).otherwise(F.lit(0))) / F.sum("size")).alias("shared_blocks"))
+    out = own.join(share, "file_id", "left").select(
+        "file_id", "repository", "file_path", "size", F.coalesce("shared_file", F.lit(False)).alias("shared_file"),
+        F.when(F.col("size") >= LEAST_SHARED, F.coalesce("shared_blocks", F.lit(0.0))).otherwise(F.lit(0.0)).alias("shared_blocks"),
+    )
+    parent = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
+    copies = F.col("shared_file") | (F.col("shared_blocks") >= MOST)
+    mostly = out.filter(parent != "").groupBy("repository", parent.alias("dir")).agg(F.sum(F.when(copies, F.col("size")).otherwise(0)).alias("a"), F.sum("size").alias("b"), F.count_if(copies).alias("n"))
+    mostly = mostly.filter((F.col("n") >= DIR_COPIES) & (F.col("a") >= DIR_SHARE * F.col("b"))).select("repository", "dir", F.lit(True).alias("mostly_shared_dir"))
+    out = out.withColumn("dir", parent).join(mostly, ["repository", "dir"], "left").drop("dir")
     dirs = _directories(tree)
     if dirs is None:
-        return out.select("file_id", F.coalesce("shared_file", F.lit(False)).alias("shared_file"), F.lit(False).alias("shared_dir"), F.coalesce("shared_blocks", F.lit(0.0)).alias("shared_blocks"))
-    # the root (an empty path) would make whole copies of a repository its own vendored code
-    marked = dirs.filter("path != ''").join(_shared(dirs.filter("path != ''").select("repository", "hash")), "hash").select("repository", F.col("path").alias("dir")).distinct()
-    above = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("file_path", "/")) - 1)), lambda k: F.array_join(F.slice(F.split("file_path", "/"), F.lit(1), k), "/")), lambda d: d != F.col("file_path"))
-    under = out.select("file_id", "repository", F.explode(above).alias("dir")).join(marked, ["repository", "dir"], "left_semi").select("file_id").distinct()
-    return out.join(under.withColumn("shared_dir", F.lit(True)), "file_id", "left").groupBy("file_id").agg(
-        F.bool_or(F.coalesce("shared_file", F.lit(False))).alias("shared_file"), F.bool_or(F.coalesce("shared_dir", F.lit(False))).alias("shared_dir"),
-        F.max(F.coalesce("shared_blocks", F.lit(0.0))).alias("shared_blocks"),
-    )
+        out = out.withColumn("shared_dir", F.lit(False))
+    else:
+        # the root (an empty path) would make whole copies of a repository its own vendored code
+        large_dirs = dirs.filter((F.col("path") != "") & (F.col("size") >= LEAST_SHARED))
+        marked = large_dirs.join(_shared(large_dirs.select("repository", "hash")), "hash").select("repository", F.col("path").alias("dir")).distinct()
+        above = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("file_path", "/")) - 1)), lambda k: F.array_join(F.slice(F.split("file_path", "/"), F.lit(1), k), "/")), lambda d: d != F.col("file_path"))
+        under = out.select("file_id", "repository", F.explode(above).alias("dir")).join(marked, ["repository", "dir"], "left_semi").select("file_id").distinct()
+        out = out.join(under.withColumn("shared_dir", F.lit(True)), "file_id", "left")
+    return out.groupBy("file_id").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in ("shared_file", "shared_dir", "mostly_shared_dir")], F.max("shared_blocks").alias("shared_blocks"))
 
 
 def layout(text: DataFrame) -> DataFrame:
@@ -130,11 +143,8 @@ def _head_says(pattern: str) -> Column:
     return F.exists(F.split("head", "\n"), lambda s: s.rlike(pattern))
 
 
-def classify(source: DataFrame) -> DataFrame:
-    """(file_id, vendored, generated, packed, bulk_data, hand_written): one row per file_id with non-null content.
-
-    Empty files are hand-written. Repeated rows of a file_id count once; a row without path or repository is judged by its text.
-    """
+def evidence(source: DataFrame) -> DataFrame:
+    """(file_id, tree, vendored_by_name, generated, packed, bulk_data): each kind of evidence by itself; one row per file_id with non-null content."""
     text = layout(files(source))
     parts = F.split(F.lower("file_path"), "/")
     in_dir = F.exists(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), lambda p: p.isin(*VENDOR_DIRS)) | F.col("file_path").rlike(r"(?i)(^|/)contrib/external/")
@@ -146,8 +156,16 @@ def classify(source: DataFrame) -> DataFrame:
         ((F.col("n_lines") >= 15) & (F.col("row_share") >= 0.85)).alias("bulk_data"),
     )
     judged = judged.groupBy("file_id").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in judged.columns if c != "file_id"])
-    tree = shared_subtrees(source).select("file_id", (F.col("shared_file") | F.col("shared_dir") | (F.col("shared_blocks") >= 0.6)).alias("_tree"))
-    both = judged.join(tree, "file_id", "left").withColumn("vendored", F.col("vendored_by_name") | F.coalesce("_tree", F.lit(False)))
+    tree = shared_subtrees(source).select("file_id", (F.col("shared_file") | F.col("shared_dir") | F.col("mostly_shared_dir") | (F.col("shared_blocks") >= MOST)).alias("tree"))
+    return judged.join(tree, "file_id", "left").select("file_id", F.coalesce("tree", F.lit(False)).alias("tree"), "vendored_by_name", "generated", "packed", "bulk_data")
+
+
+def classify(source: DataFrame) -> DataFrame:
+    """(file_id, vendored, generated, packed, bulk_data, hand_written): one row per file_id with non-null content.
+
+    Empty files are hand-written. Repeated rows of a file_id count once; a row without path or repository is judged by its text.
+    """
+    both = evidence(source).withColumn("vendored", F.col("vendored_by_name") | F.col("tree"))
     kinds = ["vendored", "generated", "packed", "bulk_data"]
     any_ = F.greatest(*[F.col(k) for k in kinds])
     return both.select("file_id", *kinds, (~any_).alias("hand_written"))
