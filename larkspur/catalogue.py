@@ -271,7 +271,14 @@ def paragraph_islands(spark: SparkSession, d: str) -> DataFrame:
     return texts.paragraphs(V.lines(spark, d))
 
 
-@query()
+_SEGMENTS = ("with recursive " + _LINES + """, q as (select file_id, line_no, line_no - row_number() over (partition by file_id order by line_no) as g from lines where trim(text, ' ') <> ''), isl as (select file_id, cast(min(line_no) as int) as a, cast(max(line_no) as int) as b from q group by file_id, g),
+s as materialized (select *, row_number() over (partition by file_id order by a) as i from isl)""")
+#: Greedy packing of the segments `s` (file_id, i, a, b): the group's first line moves on when the group would span over 60 lines.
+_PACKED = """, p(file_id, i, first) as (select file_id, i, a from s where i = 1 union all select s.file_id, s.i, case when s.b - p.first + 1 > 60 then s.a else p.first end from p join s on s.file_id = p.file_id and s.i = p.i + 1),
+groups as (select file_id, first as start_line, max(b) as end_line from p join s using (file_id, i) group by 1, 2)"""
+
+
+@query(_SEGMENTS + _PACKED + " select * from groups")
 def pack_segments(spark: SparkSession, d: str) -> DataFrame:
     return texts.pack_segments(texts.paragraphs(V.lines(spark, d)))
 
@@ -389,7 +396,7 @@ def severity_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with m as (select cast(event_id as varchar) || case when event_id % 2 = 0 then '.py' else '.js' end as file_path, user_id % 40 as complexity, user_id % 130 as n_lines, user_id % 9 as parameters from events)
-select file_path, 'function-complexity' as rule_id from m where complexity > 15 and file_path not like '%.py' union all select file_path, 'function-length' from m where n_lines > 80 union all select file_path, 'function-parameters' from m where parameters > 6""")
+select file_path, 'function-complexity' as rule_id from m where complexity > 15 and file_path not like '%.py' union all select file_path, 'long-function' from m where n_lines > 80 union all select file_path, 'too-many-parameters' from m where parameters > 6""")
 def threshold_rules(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("user_id")
     path = F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, ".py").otherwise(".js"))
@@ -578,22 +585,38 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", C.estimated_tokens(F.col("text"), F.lit(512)).alias("tokens"))
 
 
-@query()
+_TIMED = "with " + _CALLS + """, t as (select call_id, provider, strftime(called_at, '%Y-%m-%d') as day, epoch_us(called_at) as us, status, coalesce(input_tokens, 0) as tokens, coalesce(model, '') as model, coalesce(file_path, '') as path,
+  row_number() over (partition by provider order by called_at, call_id) - 1 as i from c where called_at is not null and provider is not null)"""
+
+
+@query(_TIMED + """, w as (select *, us - i // 30 * 60000000 as ahead from t), m as (select *, max(ahead) over (partition by provider, i % 30 order by i) + i // 30 * 60000000 as slot_us from w)
+select call_id, provider, day, slot_us / 1000000.0::double as slot, (slot_us - us) / 1000000.0::double as wait from m""")
 def limiter_slots(spark: SparkSession, d: str) -> DataFrame:
     return routing.limiter_slots(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
-@query()
+@query(_TIMED + """, w as (select *, least(200000, tokens) as charge from t), s as (select *, us - min(us) over (partition by provider) - 1500 * coalesce(sum(charge) over (partition by provider order by i rows between unbounded preceding and 1 preceding), 0) as less from w),
+m as (select *, max(less) over (partition by provider order by i) as most from s) select call_id, provider, day, cast(200000 - cast(most - less as double) / 1500 - charge as double) as level from m""")
 def token_bucket_levels(spark: SparkSession, d: str) -> DataFrame:
     return routing.token_bucket(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
-@query()
+@query(_TIMED.replace("with c", "with recursive c", 1) + """, b(provider, i, state, failures, limits, until, probing) as (
+  select provider, cast(-1 as bigint), '', 0, 0, cast(0 as bigint), false from (select distinct provider from t)
+  union all select t.provider, t.i, z.state,
+    case when t.status = 'ok' and z.state <> 'open' then 0 when t.status = 'unavailable' then b.failures + 1 else b.failures end,
+    case when t.status = 'ok' and z.state <> 'open' then 0 when t.status = 'rate_limited' then b.limits + 1 else b.limits end,
+    case when t.status = 'rate_limited' then greatest(b.until, t.us + cast(least(pow(2, least(b.limits + 1, 30)), 60) * 1000000 as bigint)) when t.status = 'unavailable' and (z.state = 'half_open' or b.failures + 1 >= 3) then greatest(b.until, t.us + 30000000) else b.until end,
+    case when t.status = 'ok' and z.state <> 'open' then false when t.status = 'rate_limited' or (t.status = 'unavailable' and (z.state = 'half_open' or b.failures + 1 >= 3)) then true else b.probing end
+  from b join t on t.provider = b.provider and t.i = b.i + 1, lateral (select case when t.us < b.until then 'open' when b.probing then 'half_open' else 'closed' end as state) z)
+select call_id, provider, day, state from b join t using (provider, i)""")
 def breaker_states(spark: SparkSession, d: str) -> DataFrame:
     return routing.breaker_states(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
-@query()
+@query(_TIMED + """, k as (select *, lag(i) over w as last, coalesce(lead(i) over w, 9000000000) as next from t window w as (partition by provider, model, path order by i)),
+n as (select a.call_id, count(*) as between_ from k a join k b on a.provider = b.provider and b.i > a.last and b.i < a.i and b.next >= a.i group by 1)
+select provider, day, count(*) as n_calls, count(*) filter (where last is not null and coalesce(between_, 0) < 512) as n_hits from k left join n using (call_id) group by 1, 2""")
 def lru_hits(spark: SparkSession, d: str) -> DataFrame:
     return routing.lru_hits(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
@@ -649,7 +672,7 @@ def stage_durations(spark: SparkSession, d: str) -> DataFrame:
     return log.stage_durations(V.events(spark, d))
 
 
-@query("with " + _EVENTS + ", w as (select scan_id, id, kind, row_number() over (partition by scan_id order by id desc) as k from ev) select scan_id, id, kind from w where k <= 30")
+@query("with " + _EVENTS + ", w as (select scan_id, id, kind, row_number() over (partition by scan_id order by id desc) as k from ev) select scan_id, id, kind from w where k <= 300")
 def activity_last_n(spark: SparkSession, d: str) -> DataFrame:
     return log.last_activity(V.events(spark, d))
 

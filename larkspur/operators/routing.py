@@ -1,6 +1,7 @@
 """State machines over ordered calls: limiters, token bucket, breaker, cache and the routing simulation.
 
-Each is sequential by nature (a slot depends on the slots before it), so a provider's calls are folded in time order, with
+The limiter and the bucket have closed forms in running sums and running maxima, which add up over days, so they run in the JVM and no
+provider is one task. Breaker and cache are sequential by nature: a provider's calls are folded in time order, with
 the state carried over from stretch to stretch and day to day. They are streamed over sorted rows: a task holds a stretch and
 the state, however long the provider's history is. Only the simulation begins anew each day, as a day is its scenario.
 """
@@ -13,15 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.plans.durable import grouped, streamed
+from larkspur.plans.durable import grouped, running_max, running_start, streamed
 
 ORDER = ["at", "call_id"]
 
 
 def _timed(calls: DataFrame) -> DataFrame:
-    at = (F.unix_micros(F.col("called_at").cast("timestamp")) / 1e6).alias("at")
+    us = F.unix_micros(F.col("called_at").cast("timestamp"))
     rows = calls.filter("called_at is not null and provider is not null")
-    return rows.select("call_id", "provider", F.date_format("called_at", "yyyy-MM-dd").alias("day"), at, "status", F.coalesce("input_tokens", F.lit(0)).alias("tokens"), F.coalesce("model", F.lit("")).alias("model"), F.coalesce("file_path", F.lit("")).alias("path"))
+    return rows.select("call_id", "provider", F.date_format("called_at", "yyyy-MM-dd").alias("day"), (us / 1e6).alias("at"), us.alias("us"), "status", F.coalesce("input_tokens", F.lit(0)).alias("tokens"), F.coalesce("model", F.lit("")).alias("model"), F.coalesce("file_path", F.lit("")).alias("path"))
 
 
 def slots(times: list[float], limit: int, window: float, before: deque | None = None) -> list[float]:
@@ -38,31 +39,31 @@ def slots(times: list[float], limit: int, window: float, before: deque | None =
 
 
 def limiter_slots(calls: DataFrame, limit: int = 30, window: float = 60.0) -> DataFrame:
-    """(call_id, provider, day, slot, wait): when a limiter of `limit` calls per window lets each call through."""
-
-    def run(rows: pd.DataFrame, before: deque) -> pd.DataFrame:
-        rows["slot"] = slots(rows["at"].tolist(), limit, window, before)
-        rows["wait"] = rows["slot"] - rows["at"]
-        return rows[["call_id", "provider", "day", "slot", "wait"]]
-
-    return streamed(_timed(calls), "provider", ORDER, lambda: deque(maxlen=limit), run, "call_id bigint, provider string, day string, slot double, wait double")
+    """(call_id, provider, day, slot, wait): when a limiter of `limit` calls per window lets each call through.
 
+    Slot i is the later of its time and slot i - limit plus the window (see `slots`). Along the calls i, i + limit, i + 2 limit, ... that is
+    k windows plus the running maximum of time - k windows.
+    """
+    width = round(window * 1e6)
+    ranked = running_start(_timed(calls).withColumn("one", F.lit(1)), ["provider"], "day", ["us", "call_id"], "one", "i")
+    chained = ranked.withColumn("chain", F.col("i") % limit).withColumn("k", F.floor(F.col("i") / limit)).withColumn("ahead", F.col("us") - F.col("k") * width)
+    held = running_max(chained, ["provider", "chain"], "day", ["k"], "ahead", "most").withColumn("slot_us", F.col("most") + F.col("k") * width)
+    return held.select("call_id", "provider", "day", (F.col("slot_us") / 1e6).alias("slot"), ((F.col("slot_us") - F.col("us")) / 1e6).alias("wait"))
 
-def token_bucket(calls: DataFrame, capacity: float = 200_000.0, rate: float = 40_000 / 60) -> DataFrame:
-    """(call_id, provider, day, level): the level after each charge; it refills over time, may go into debt, and a charge is at most the capacity."""
 
-    def run(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
-        level, last, out = state["level"], state["last"], []
-        for at, tokens in zip(rows["at"].tolist(), rows["tokens"].tolist()):
-            level = min(capacity, level + (at - last) * rate) if last is not None else level
-            level -= min(capacity, float(tokens))
-            last = at
-            out.append(level)
-        state.update(level=level, last=last)
-        rows["level"] = out
-        return rows[["call_id", "provider", "day", "level"]]
+def token_bucket(calls: DataFrame, capacity: float = 200_000, rate: float = 40_000 / 60) -> DataFrame:
+    """(call_id, provider, day, level): the level after each charge; it refills over time, may go into debt, and a charge is at most the capacity.
 
-    return streamed(_timed(calls), "provider", ORDER, lambda: {"level": capacity, "last": None}, run, "call_id bigint, provider string, day string, level double")
+    What a call finds missing is a waiting time in a queue with one server: the sum of charges before it less the time passed, over the running minimum of that.
+    """
+    per_token = round(1e6 / rate)  # microseconds in which a token flows back
+    rows = _timed(calls).withColumn("charge", F.least(F.lit(capacity), "tokens").cast("long"))
+    first = rows.groupBy("provider").agg(F.min("us").alias("first_us"))
+    summed = running_start(rows, ["provider"], "day", ["us", "call_id"], "charge", "before").join(first, "provider")
+    owed = summed.withColumn("less", F.col("us") - F.col("first_us") - F.col("before") * per_token)  # the negative sum, so that its maximum is wanted
+    topped = running_max(owed, ["provider"], "day", ["us", "call_id"], "less", "most")
+    level = F.lit(capacity) - (F.col("most") - F.col("less")) / per_token - F.col("charge")
+    return topped.select("call_id", "provider", "day", level.cast("double").alias("level"))
 
 
 class Breaker:

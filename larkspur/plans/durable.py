@@ -70,6 +70,16 @@ def running_start(df: DataFrame, keys: list[str], piece: str, order: list[str],
     return local.join(starts, [*keys, piece]).withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_start", "_local")
 
 
+def running_max(df: DataFrame, keys: list[str], piece: str, order: list[str], measure: str, out: str) -> DataFrame:
+    """The largest `measure` of the rows up to and with a row of its `keys`, in the order of (`piece`, `order`); only rows of one piece meet in a task."""
+    inside = Window.partitionBy(*keys, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, piece).agg(F.max(measure).alias("_top"))
+    earlier = tops.select(*keys, piece, F.max("_top").over(before).alias("_earlier"))
+    local = df.withColumn("_local", F.max(measure).over(inside))
+    return local.join(earlier, [*keys, piece]).withColumn(out, F.greatest("_local", "_earlier")).drop("_local", "_earlier")
+
+
 def _plain(rows: pd.DataFrame) -> pd.DataFrame:
     """Text columns as objects: joined frames hold them in chunks, which cannot be handed back."""
     return rows.astype({c: object for c, t in rows.dtypes.items() if isinstance(t, (pd.StringDtype, pd.ArrowDtype))})

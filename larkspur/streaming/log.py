@@ -69,7 +69,7 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return rows.filter("next is not null").select("scan_id", "id", (F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("micros"))
 
 
-def last_activity(events: DataFrame, n: int = 30) -> DataFrame:
+def last_activity(events: DataFrame, n: int = 300) -> DataFrame:
     """The last n events per scan."""
     w = Window.partitionBy("scan_id").orderBy(F.desc("id"))
     return events.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).select("scan_id", "id", "kind")
