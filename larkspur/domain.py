@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Severities from least to most (fixed values).
 SEVERITIES = ("info", "low", "medium", "high", "critical")
+#: Categories of findings (fixed values).
+CATEGORIES = ("bug", "documentation", "maintainability", "performance", "security", "style", "typing")
 #: Points per severity in the quality score, the complexity at which a function counts, its weight, and the grades' lower ends (fixed values).
 WEIGHTS = {"critical": 25, "high": 10, "medium": 4, "low": 1, "info": 0}
 COMPLEX_AT, COMPLEXITY_WEIGHT = 21, 20.0
