@@ -601,15 +601,18 @@ def token_bucket_levels(spark: SparkSession, d: str) -> DataFrame:
     return routing.token_bucket(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 
 
-@query(_TIMED.replace("with c", "with recursive c", 1) + """, b(provider, i, state, failures, limits, until, probing) as (
+_BREAKER = _TIMED.replace("with c", "with recursive c", 1) + """, b(provider, i, state, failures, limits, until, probing) as (
   select provider, cast(-1 as bigint), '', 0, 0, cast(0 as bigint), false from (select distinct provider from t)
   union all select t.provider, t.i, z.state,
     case when t.status = 'ok' and z.state <> 'open' then 0 when t.status = 'unavailable' then b.failures + 1 else b.failures end,
     case when t.status = 'ok' and z.state <> 'open' then 0 when t.status = 'rate_limited' then b.limits + 1 else b.limits end,
-    case when t.status = 'rate_limited' then greatest(b.until, t.us + cast(least(pow(2, least(b.limits + 1, 30)), 60) * 1000000 as bigint)) when t.status = 'unavailable' and (z.state = 'half_open' or b.failures + 1 >= 3) then greatest(b.until, t.us + 30000000) else b.until end,
-    case when t.status = 'ok' and z.state <> 'open' then false when t.status = 'rate_limited' or (t.status = 'unavailable' and (z.state = 'half_open' or b.failures + 1 >= 3)) then true else b.probing end
+    case when t.status = 'rate_limited' then greatest(b.until, t.us + cast(least(pow(2, least(b.limits + 1, 30)), 60) * 1000000 as bigint)) when t.status in ('quota_exhausted', 'auth_failed', 'misconfigured') then greatest(b.until, t.us + 3600000000) when t.status = 'unavailable' and (z.state = 'half_open' or b.failures + 1 >= 3) then greatest(b.until, t.us + 30000000) else b.until end,
+    case when t.status = 'ok' and z.state <> 'open' then false when t.status in ('rate_limited', 'quota_exhausted', 'auth_failed', 'misconfigured') or (t.status = 'unavailable' and (z.state = 'half_open' or b.failures + 1 >= 3)) then true else b.probing end
   from b join t on t.provider = b.provider and t.i = b.i + 1, lateral (select case when t.us < b.until then 'open' when b.probing then 'half_open' else 'closed' end as state) z)
-select call_id, provider, day, state from b join t using (provider, i)""")
+"""
+
+
+@query(_BREAKER + "select call_id, provider, day, state from b join t using (provider, i)")
 def breaker_states(spark: SparkSession, d: str) -> DataFrame:
     return routing.breaker_states(V.calls(spark, d, "called_at", "provider", "status", "input_tokens", "model", "file_path"))
 

@@ -67,12 +67,13 @@ def token_bucket(calls: DataFrame, capacity: float = 200_000, rate: float = 40_0
 
 
 class Breaker:
-    """Closed, open or half-open: three failures in a row, or one while half-open, open it for 30 s; a rate limit for 2^k s, 60 at most.
+    """Closed, open or half-open: three failures in a row, or one while half-open, open it for 30 s; a rate limit for 2^k s, 60 at most; a used up quota, a refused key and a wrong configuration for an hour.
 
     The longest pause holds; an answer that comes while it is open is older than the pause and changes nothing.
     """
 
-    THRESHOLD, PAUSE, LONGEST = 3, 30.0, 60.0
+    THRESHOLD, PAUSE, LONGEST, HOUR = 3, 30.0, 60.0, 3600.0
+    LONG = ("quota_exhausted", "auth_failed", "misconfigured")
 
     def __init__(self) -> None:
         self.failures, self.limits, self.until, self.probing = 0, 0, 0.0, False
@@ -90,6 +91,8 @@ class Breaker:
         elif status == "rate_limited":
             self.limits += 1
             self._pause(at + min(2.0 ** min(self.limits, 30), self.LONGEST))  # a long run of limits would overflow
+        elif status in self.LONG:
+            self._pause(at + self.HOUR)
         elif status == "unavailable":
             self.failures += 1
             if state == "half_open" or self.failures >= self.THRESHOLD:
