@@ -171,7 +171,12 @@ def sarif_rules(spark: SparkSession, d: str) -> DataFrame:
     return fnd.sarif_rules(V.findings(spark, d))
 
 
-@query()
+_PRINT = """sha256(coalesce(coalesce(nullif(rule_id, ''), sources[1]) || chr(31), '') || file_path || chr(31) || coalesce(nullif(trim(regexp_replace(evidence, '\\s+', ' ', 'g')), ''), trim(regexp_replace(title, '\\s+', ' ', 'g'))))"""
+
+
+@query(_F + f""", q as (select *, coalesce(nullif(rule_id, ''), sources[1]) as rule, {_PRINT} as print, coalesce(message, title) as said from r)
+select finding_id, '{{' || coalesce('"ruleId":' || to_json(rule)::varchar || ',', '') || '"level":"' || case when sev_rank >= 3 then 'error' when sev_rank = 2 then 'warning' else 'note' end || '","message":{{' || coalesce('"text":' || to_json(said)::varchar, '') || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{' || coalesce('"uri":' || to_json(file_path)::varchar, '')
+  || '}},"region":{{' || concat_ws(',', '"startLine":' || start_line, '"endLine":' || end_line) || '}}}}}}],"partialFingerprints":{{' || coalesce('"v1":"' || print || '"', '') || '}}}}' as result from q""")
 def sarif_results(spark: SparkSession, d: str) -> DataFrame:
     return fnd.sarif_results(V.findings(spark, d))
 
@@ -283,7 +288,13 @@ def pack_segments(spark: SparkSession, d: str) -> DataFrame:
     return texts.pack_segments(texts.paragraphs(V.lines(spark, d)))
 
 
-@query()
+@query("""with c as (select distinct chunk_id, start_line, context from chunks where chunk_id is not null and start_line is not null and context is not null),
+x as (select chunk_id, start_line, r.start_line as a, r.end_line as b, k from (select chunk_id, start_line, unnest(context) as r, generate_subscripts(context, 1) as k from c)),
+cut as (select *, least(b, start_line - 1) as e from x), used as (select *, coalesce(sum(greatest(0, e - a + 1)) over (partition by chunk_id order by k rows between unbounded preceding and 1 preceding), 0) as before from cut),
+kept as (select chunk_id, a, least(e, a + 40 - before - 1) as e from used where e >= a and before < 40), grp as (select *, case when a <= max(e) over w + 1 then 0 else 1 end as fresh from kept window w as (partition by chunk_id order by a, e rows between unbounded preceding and 1 preceding)),
+isl as (select *, sum(fresh) over (partition by chunk_id order by a, e) as g from grp), merged as (select chunk_id, min(a) as a, max(e) as e from isl group by chunk_id, g),
+shown as (select chunk_id, '[' || string_agg('{"start":' || a || ',"end":' || e || '}', ',' order by a) || ']' as shown from merged group by 1)
+select chunk_id, coalesce(shown, '[]') as shown from c left join shown using (chunk_id)""")
 def chunk_context(spark: SparkSession, d: str) -> DataFrame:
     c = V.chunks(spark, d).filter("start_line is not null and context is not null")
     ranges = F.transform("context", lambda r: F.struct(r["start_line"].alias("start"), r["end_line"].alias("end")))
@@ -483,12 +494,18 @@ def findings_in_chunks(spark: SparkSession, d: str) -> DataFrame:
     return matching.findings_in_chunks(V.chunks(spark, d), V.findings(spark, d)).select("chunk_id", "finding_id")
 
 
-@query()
+_IN_CHUNKS = _F + """, ch as (select * from (select *, row_number() over (partition by chunk_id) as k from (select distinct chunk_id, repository, file_path, chunk_index, start_line, end_line from chunks where chunk_id is not null)) where k = 1),
+fc as (select ch.chunk_id, f.finding_id, f.sev_rank, f.start_line from ch join f on f.repository = ch.repository and f.file_path = ch.file_path and f.start_line between ch.start_line and ch.end_line
+  where not (list_contains(sources, 'ruff') and coalesce(regexp_matches(rule_id, '^(E1|E2|E3|E5|W|I|Q|COM)'), false)))"""
+
+
+@query(_IN_CHUNKS + """, rk as (select chunk_id, sum(sev_rank + 1) as risk from fc group by 1), p as (select repository, ch.chunk_id, cast(coalesce(risk, 0) as bigint) as risk, cast(row_number() over (partition by repository order by coalesce(risk, 0) desc, file_path, chunk_index, ch.chunk_id) as int) as place, count(*) over (partition by repository) as n from ch left join rk using (chunk_id))
+select repository, chunk_id, risk, place, 'review' as task from p where place <= 60 union all select repository, chunk_id, risk, place, 'style' from p where place <= 60 - least(n, 60)""")
 def review_plan(spark: SparkSession, d: str) -> DataFrame:
     return matching.review_plan(V.chunks(spark, d), V.findings(spark, d))
 
 
-@query()
+@query(_IN_CHUNKS + ", k as (select *, row_number() over (partition by chunk_id order by sev_rank desc, start_line, finding_id) as k from fc) select chunk_id, 'S' || k as static_id, finding_id from k where k <= 40")
 def static_ids(spark: SparkSession, d: str) -> DataFrame:
     return matching.numbered_for_review(V.chunks(spark, d), V.findings(spark, d))
 
@@ -503,7 +520,12 @@ def ai_merge_static_target(spark: SparkSession, d: str) -> DataFrame:
     return matching.first_static_target(f.filter(only), f.filter(~only))
 
 
-@query()
+@query(_F.replace("with latest", "with recursive latest", 1) + """, o as materialized (select finding_id, coalesce(repository, '') as rp, coalesce(file_path, '') as fp, coalesce(category, '') as ct, start_line as s, coalesce(end_line, start_line) as e, row_number() over (partition by repository, file_path, category order by finding_id) as i from f where models_only and start_line is not null),
+p(rp, fp, ct, i, leaders, finding_id, leader_id) as (
+  select distinct rp, fp, ct, cast(0 as bigint), cast([] as struct(k bigint, s int, e int)[]), cast(null as bigint), cast(null as bigint) from o
+  union all select p.rp, p.fp, p.ct, o.i, case when h.k is null then list_append(p.leaders, {'k': o.finding_id, 's': o.s, 'e': o.e}) else p.leaders end, o.finding_id, coalesce(h.k, o.finding_id)
+  from p join o on o.rp = p.rp and o.fp = p.fp and o.ct = p.ct and o.i = p.i + 1, lateral (select list_filter(p.leaders, lambda x: x.s <= o.e and o.s <= x.e)[1].k as k) h)
+select finding_id, leader_id from p where finding_id is not null""")
 def ai_merge_leaders(spark: SparkSession, d: str) -> DataFrame:
     return matching.leader_clusters(V.findings(spark, d).filter(C.is_model_only(F.col("sources"))))
 
@@ -652,7 +674,10 @@ def fleiss_kappa(spark: SparkSession, d: str) -> DataFrame:
     return agreement.fleiss_kappa(V.ratings(spark, d))
 
 
-@query()
+@query("with " + _RATINGS + """, k as (select criterion, item, score, count(*) as k from t group by 1, 2, 3), i as (select criterion, item, sum(k) as n, sum(k * k) as q from k group by 1, 2 having sum(k) >= 2),
+s as (select criterion, n as n_raters, count(*) as n_items, avg((q - n) / (n * (n - 1.0))) as seen from i group by 1, 2), c as (select criterion, n as n_raters, score, sum(k / cast(n as double)) as share from k join i using (criterion, item) group by 1, 2, 3),
+p as (select criterion, n_raters, sum((share / n_items) * (share / n_items)) as chance from c join s using (criterion, n_raters) group by 1, 2)
+select criterion, cast(n_raters as bigint) as n_raters, n_items, round(case when chance = 1 then 1.0 else (seen - chance) / (1 - chance) end, 6) as kappa from s join p using (criterion, n_raters)""")
 def fleiss_kappa_by_raters(spark: SparkSession, d: str) -> DataFrame:
     return agreement.fleiss_by_raters(V.ratings(spark, d))
 
@@ -727,7 +752,13 @@ def scan_progress(spark: SparkSession, d: str) -> DataFrame:
     return reports.progress(V.events(spark, d))
 
 
-@query()
+@query(_F + ", " + _FILES + """, p as (select repository, sum(case severity when 'critical' then 25 when 'high' then 10 when 'medium' then 4 when 'low' then 1 else 0 end) as points, count(*) as n_reported from r group by 1),
+s as (select repository, sum(coalesce(line_count, 0)) as lines, count(*) as n_files from files group by 1), k as (select repository, count(distinct file_path) as n_complex from f where issue_key = 'complex-function' group by 1),
+j as (select s.repository, n_files, coalesce(n_reported, 0) as n_reported, cast(greatest(0, least(100, round_even(cast(100 - coalesce(points, 0) / greatest(1.0, lines / 1000.0) - 20.0 * coalesce(n_complex, 0) / n_files as double), 0))) as int) as score from s left join p using (repository) left join k using (repository)),
+o as (select *, row_number() over (partition by repository order by sev_rank desc, file_path, start_line nulls first, ord) as place, count(*) over (partition by repository) as all_ from r),
+l as (select repository, place, '[' || severity || '] ' || file_path || ':' || start_line || ' ' || case when length(t) > 80 then rtrim(t[:79]) || '…' else t end as text from (select *, trim(regexp_replace(title, '\\s+', ' ', 'g')) as t from o where place <= 10) union all select repository, 11, 'and ' || (any_value(all_) - 10) || ' more' from o where all_ > 10 group by 1),
+tp as (select repository, '[' || string_agg(to_json(text)::varchar, ',' order by place) || ']' as top from l where text is not null group by 1)
+select repository, '{"repository":' || to_json(repository)::varchar || ',"score":' || score || ',"grade":"' || case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'E' end || '","n_files":' || n_files || ',"n_reported":' || n_reported || ',"top":' || coalesce(top, '[]') || '}' as report from j left join tp using (repository)""")
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     return reports.report_json(V.findings(spark, d), V.files(spark, d))
 
@@ -760,7 +791,12 @@ def off_task(spark: SparkSession, d: str) -> DataFrame:
     return f.select("finding_id", C.off_task(F.col("category"), F.col("severity"), "style").alias("off_style"), C.off_task(F.col("category"), F.col("severity"), "review").alias("off_review"))
 
 
-@query()
+@query(_F + """, b as (select repository, file_path, arg_max(content, (ingested_at, file_id)) as content from source_files where content is not null group by 1, 2),
+x as (select finding_id, start_line as a, coalesce(end_line, start_line) as z, evidence, case when content = '' then [] else string_split(regexp_replace(regexp_replace(content, '\\n$', ''), '\\r(\\n|$)', '\\1', 'g'), chr(10)) end as lines from f join b using (repository, file_path) where start_line is not null),
+e as (select *, case when evidence is null or evidence = '' then [] else string_split(regexp_replace(evidence, '\\n$', ''), chr(10))[:5] end as ev from x),
+q as (select *, case when evidence is null then null else list_filter(list_transform(string_split(trim(array_to_string(list_transform(ev, lambda l: regexp_replace(regexp_replace(l, '\\r$', ''), '^\\s*\\d+ \\| ?', '')), chr(10)), ' '), chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'), ' ')), lambda l: l <> '') end as quoted,
+  trim(regexp_replace(array_to_string(lines[greatest(1, a - 2):greatest(1, a - 2) + greatest(0, z - a + 5) - 1], ' '), '\\s+', ' ', 'g'), ' ') as win from e)
+select finding_id, case when z > len(lines) then 'past_end' when a < 1 or z > len(lines) then 'not_shown' when length(array_to_string(coalesce(quoted, []), '')) < 3 then 'no_evidence' when len(list_filter(quoted, lambda t: not contains(win, t))) > 0 then 'not_found' end as reason from q""")
 def grounding(spark: SparkSession, d: str) -> DataFrame:
     body = table(spark, d, "source_files").filter("content is not null").groupBy("repository", "file_path").agg(F.max_by("content", F.struct("ingested_at", "file_id")).alias("content"))
     f = V.findings(spark, d).filter("start_line is not null").select("finding_id", "repository", "file_path", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "evidence")

@@ -94,14 +94,18 @@ def findings_in_chunks(chunks: DataFrame, findings: DataFrame) -> DataFrame:
     """(chunk_id, finding_id, sev_rank, start_line): findings that start in a chunk's body, formatting ones left out."""
     f = findings.filter(~C.is_formatting_only(F.col("sources"), F.col("rule_id"))).select("finding_id", *FILE, F.col("start_line").alias("at"), "sev_rank", "category", "severity", "title", "message")
     c = chunks.filter("start_line is not null").select("chunk_id", *FILE, "chunk_index", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
-    return c.join(f, list(FILE)).filter("at between cs and ce").withColumnRenamed("at", "start_line")
+    # a chunk is in every cell of lines that it touches, a finding in one: a file with very many of both spreads over many tasks
+    c = c.withColumn("cell", F.explode(F.sequence(F.floor(F.col("cs") / CELL), F.floor(F.greatest("cs", "ce") / CELL))))
+    return c.join(f.filter("at is not null").withColumn("cell", F.floor(F.col("at") / CELL)), [*FILE, "cell"]).filter("at between cs and ce").drop("cell").withColumnRenamed("at", "start_line")
 
 
 def first_static_target(model_findings: DataFrame, static: DataFrame) -> DataFrame:
     """(finding_id, target_id): the first tool finding, in canonical order, of one file and category that a model's finding overlaps."""
     s = static.select(*FILE, "category", F.col("start_line").alias("s1"), F.coalesce("end_line", "start_line").alias("e1"), F.col("finding_id").alias("target_id"), F.struct(-F.col("sev_rank"), "start_line", F.coalesce("rule_id", F.lit("")), "ord").alias("place"))
     m = model_findings.select("finding_id", *FILE, "category", F.col("start_line").alias("s2"), F.coalesce("end_line", "start_line").alias("e2"))
-    hits = m.join(s, [*FILE, "category"]).filter(C.overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.greatest(a, b) / CELL)))
+    s, m = s.filter("s1 is not null").withColumn("cell", cells("s1", "e1")), m.filter("s2 is not null").withColumn("cell", cells("s2", "e2"))
+    hits = m.join(s, [*FILE, "category", "cell"]).filter(C.overlaps(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")))
     return hits.groupBy("finding_id").agg(F.min_by("target_id", "place").alias("target_id"))
 
 

@@ -63,12 +63,14 @@ def report_json(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def html_table(df: DataFrame, title: str, most: int = 500) -> str:
-    """A small result as an HTML table; `most` rows at most come to the driver (a page is no place for more)."""
-    rows = df.limit(most).collect()
+    """A small result as an HTML table; `most` rows at most come to the driver (a page is no place for more), and the page says if there are more."""
+    rows = df.limit(most + 1).collect()
+    more = f"<p>The first {most} rows; there are more.</p>" if len(rows) > most else ""
+    rows = rows[:most]
     cell = lambda v: html.escape("" if v is None else str(v))
     head = "".join(f"<th>{cell(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!doctype html><title>{cell(title)}</title><h1>{cell(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    return f"<!doctype html><title>{cell(title)}</title><h1>{cell(title)}</h1><table><tr>{head}</tr>{body}</table>{more}"
 
 
 def embed(document: str, named: dict[str, str]) -> str:
