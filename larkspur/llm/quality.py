@@ -25,19 +25,36 @@ COMMON = (
     " al antes cada con cuando del esta está este eso hace lo muy ni para pero por porque qué sin su también una y ya"
 ).split()
 #: Sentence ends.
-ENDS = r"(?m)[.!?…:;][\"'”’)»\]]*[^\S\n]*$"
+ENDS = r"(?m)[.!?…:][\"'”’)»\]]*[^\S\n]*$"
 SYMBOLS = r"[^\p{L}\p{N}\s.,;:!?'\"’“”«»()…¿¡-]"
 
 #: Induced by `quality_training.train()` (see there): prose if a rule covers the paragraph.
 RULES: list[Rule] = [
-    (Test("common_share", True, 0.2303), Test("plain_share", True, 0.9352),),
-    (Test("plain_share", True, 0.8617), Test("common_share", True, 0.0357), Test("plain_share", True, 0.938),),
-    (Test("plain_share", True, 0.7894), Test("common_share", True, 0.0764), Test("plain_share", True, 0.8835), Test("common_share", True, 0.2724),),
-    (Test("plain_share", True, 0.7695), Test("common_share", True, 0.0455), Test("plain_share", True, 0.8866),),
+    (Test("end_share", True, 0.9583), Test("common_share", True, 0.0455), Test("broken_share", False, 0.0079), Test("plain_share", True, 0.6), Test("remark", True, 0.5),),
+    (Test("end_share", True, 0.8333), Test("common_share", True, 0.0455), Test("broken_share", False, 0.0076),),
+    (Test("plain_share", True, 0.9289), Test("common_share", True, 0.0674), Test("broken_share", False, 0.0062), Test("end_share", True, 0.0455),),
+    (Test("plain_share", True, 0.8545), Test("remark", True, 0.5),),
+    (Test("common_share", True, 0.286), Test("plain_share", True, 0.9129), Test("broken_share", False, 0.0048), Test("end_share", True, 0.0538),),
+    (Test("common_share", True, 0.2985), Test("broken_share", False, 0.0048), Test("plain_share", True, 0.9042), Test("symbol_share", False, 0.0379), Test("end_share", True, 0.1667),),
+    (Test("common_share", True, 0.3002), Test("broken_share", False, 0.0033), Test("plain_share", True, 0.923),),
+    (Test("remark", True, 0.5),),
+    (Test("plain_share", True, 0.8065), Test("common_share", True, 0.0357), Test("end_share", True, 0.8758), Test("broken_share", False, 0.0593),),
+    (Test("plain_share", True, 0.862), Test("broken_share", False, 0.0062), Test("common_share", True, 0.0485), Test("symbol_share", False, 0.0108), Test("capital_share", False, 0.193), Test("end_share", True, 0.4389),),
+    (Test("plain_share", True, 0.9311), Test("broken_share", False, 0.0022), Test("common_share", True, 0.0404), Test("symbol_share", False, 0.0073), Test("capital_share", False, 0.0297),),
+    (Test("plain_share", True, 0.8868), Test("end_share", True, 0.4051), Test("broken_share", False, 0.0062), Test("common_share", True, 0.1623), Test("digit_share", False, 0.0041),),
 ]
 
 
-PLAIN = r"(?<!\S)[\"'“«(¿¡]*(?:I|A|\d{1,4}|\p{Lu}?[\p{Ll}’']+(?:-\p{L}+)?|(?=[.,;:!?…)]))[.,;:!?…)\"'”»]*(?!\S)"
+PLAIN = r"(?<!\S)[\"'“«(¿¡]*(?:I|A|\d{1,4}|\d\p{L}|\p{L}{1,2}[=<>]\d[\d.,]*|\p{Lu}?[\p{Ll}’']+(?:-\p{L}+)?|(?=[.,;:!?…)]))[.,;:!?…)\"'”»]*(?!\S)"
+
+
+#: One line of one to four words with the marks that end or part sentences and nothing else (but a smiley).
+REMARK = r"^\s*(?:\p{L}[\p{L}'’]{0,19}[.,!?…;:]*\s+){0,3}\p{L}[\p{L}'’]{0,19}\s*[.!?…]*(?:\s*(?:[:;]-?[)(D]|\p{So}+))?\s*$"
+#: Three or more capitalised words in a row, as in menus and titles.
+CAPITAL_RUN = r"(?:\p{Lu}\p{Ll}+[ |·>/]+){2,}\p{Lu}\p{Ll}+"
+#: Determiners, and words that none of them stands before in a sentence (fixed values): words in a row without grammar have such pairs.
+DETERMINERS = "the|a|an|my|your|our|their|its|der|den|dem|ein|eine|einen|le|un|une|el|los|una"
+NEVER_AFTER = "the|a|an|of|to|in|is|was|and|or|at|by|for|with|that|it|he|we|they|be|are|were|from|than|if|der|den|und|ist|war|von|zu|mit|le|du|et|est|pour|el|y|es|por"
 
 
 def _share(part: str, whole: str) -> Column:
@@ -52,9 +69,13 @@ def paragraph_statistics(df: DataFrame, text: str) -> DataFrame:
     """
     counted = lambda pattern: F.regexp_count(F.col("_t"), F.lit(pattern))
     df = df.withColumn("_t", F.regexp_replace(F.col(text), r"(?<!`)`[^`\n]+(?:\n[^`\n]+)?`(?!`)", ""))
+    # what is written in capitals throughout is read like the rest
+    shouted = counted(r"\p{Lu}") * 10 > counted(r"\p{L}") * 7
+    df = df.withColumn("_t", F.when(shouted & (counted(r"\p{L}") >= 12), F.lower("_t")).otherwise(F.col("_t")))
     df = df.withColumns({
         "_words": F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}+"), F.lit(0)), "_tokens": counted(r"\S+"), "_plain": counted(PLAIN),
         "_chars": counted(r"\S"), "_digits": counted(r"\p{N}"), "_symbols": counted(SYMBOLS),
+        "_broken": counted(rf"(?i)\b(?:{DETERMINERS}) (?:{NEVER_AFTER})\b"), "_capitals": F.length(F.array_join(F.regexp_extract_all("_t", F.lit(CAPITAL_RUN), F.lit(0)), "")),
         "_lines": F.regexp_count(F.col(text), F.lit(r"(?m)^.*\S")), "_ends": F.regexp_count(F.col(text), F.lit(ENDS)),
     })
     df = df.withColumns({
@@ -64,14 +85,16 @@ def paragraph_statistics(df: DataFrame, text: str) -> DataFrame:
         "n_words": F.col("_n").cast("double"), "mean_word": _share("_letters", "_n"), "common_share": _share("_common", "_n"),
         "plain_share": _share("_plain", "_tokens"), "digit_share": _share("_digits", "_chars"), "symbol_share": _share("_symbols", "_chars"),
         "end_share": _share("_ends", "_lines"), "words_per_line": _share("_n", "_lines"),
-    }).drop("_t", "_words", "_tokens", "_plain", "_chars", "_digits", "_symbols", "_lines", "_ends", "_n", "_letters", "_common")
+        "broken_share": _share("_broken", "_n"), "capital_share": _share("_capitals", "_chars"),
+        "remark": F.col(text).rlike(REMARK).cast("double"),
+    }).drop("_broken", "_capitals", "_t", "_words", "_tokens", "_plain", "_chars", "_digits", "_symbols", "_lines", "_ends", "_n", "_letters", "_common")
 
 
-FEATURES = ("n_words", "mean_word", "common_share", "plain_share", "digit_share", "symbol_share", "end_share", "words_per_line")
+FEATURES = ("n_words", "mean_word", "common_share", "plain_share", "digit_share", "symbol_share", "end_share", "words_per_line", "broken_share", "capital_share", "remark")
 
 
 def statistics(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(doc_id, n_words, mean_word, common_share, plain_share, digit_share, symbol_share, end_share, words_per_line, prose_share, is_prose).
+    """(doc_id, n_words, mean_word, common_share, plain_share, digit_share, symbol_share, end_share, words_per_line, broken_share, capital_share, remark, prose_share, is_prose).
 
     One row per row of `documents`. Null and blank texts have zeros, a null prose_share and is_prose null. Means over
     paragraphs are weighted by their characters, so that a document's figure is that of its text.

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.llm.quality import FEATURES, paragraph_statistics
 from larkspur.llm.rules import Rule, induce, predict
 
-ROWS = 3000
-#: The features rules may use, and whether they speak for prose by being large. The others follow the words,
-#: lengths and line widths used here rather than prose.
-SPEAKS_FOR = {"common_share": True, "plain_share": True}
+ROWS = 12000
+#: The features that rules may use, and whether they speak for prose by being large (True) or small (False). Numbers and lengths of words and lines
+#: (n_words, mean_word, words_per_line) are reported but not used: rules with them follow the lengths used here (on texts of other lengths they lost 1 in 70).
+SPEAKS_FOR = {"remark": True, "common_share": True, "plain_share": True, "digit_share": False, "symbol_share": False, "end_share": True, "broken_share": False, "capital_share": False}
 NOUNS = "garden engine letter bridge river window kettle market signal harbour ladder mirror needle orchard pocket quarry ribbon saddle timber valley".split()
 SENTENCES = {
     "en": (
@@ -72,8 +72,31 @@ SENTENCES = {
 }
 
 
+#: Short remarks, sentences with citations and figures, and sentences of other domains.
+REMARKS = (
+    "Thanks!", "Done.", "Agreed", "Nice catch!", "Works now", "Merci !", "Danke!", "Listo.", "ACK", "Fixed", "Good point...", "same here", "Why?", "Sounds good!!", "will do", "Perfecto", "Yes, please.", "no idea", "Great work", "Sorry :(", "Bien vu", "Stimmt.", "hm, ok", "WIP", "Merged.",
+    "not sure", "Go ahead.", "never mind", "Claro", "Passt", "on it", "Ship it!", "Great 🎉", "thanks 👍", "Nice work there 🚀", "Merci 😀", "done :)",
+)
+OTHER_DOMAINS = (
+    "Miller et al. (2017) found that the effect holds for n = {n} samples (p < 0.01), but see Table {n} for the exceptions.", "Dr. Brown's 1998 survey (N={n}) put the share at 4.2 %; later work, e.g. Lee & Park 2004, puts it at 6-7 %.",
+    "As shown in Fig. 3B, the rate rose from 12.5 to 17.3 per cent between 1990 and 2005 (see also Sec. 4.1).", "The recipe serves four: fry the onions in 30 g of butter, add 250 ml of stock and let it simmer for {n} minutes.",
+    "We left Lyon at 7:45 and reached Milan by noon, although the pass was closed and the road was covered with snow.", "In 1842 the council sold the mill to a family from Ghent, who ran it until the great flood of 1871.",
+    "The bill (H.R. {n}) passed the House by 219 votes to 212 on March 3, 2010, and went to the Senate a week later.", "Her second novel sold over {n},000 copies; critics were less kind, calling it “a long walk to nowhere”.",
+    "Der Zug nach Basel hatte {n} Minuten Verspätung, weil bei Offenburg ein Baum auf den Gleisen lag.", "El museo abre de 9:30 a 18:00 y cierra los lunes, salvo que sea fiesta.", "Le prix a baissé de 3,5 % en mars, mais il reste plus haut que l'an dernier (voir le tableau {n}).",
+    "Der Bäcker an der Ecke öffnet jeden Morgen um sechs, obwohl die Straße dann noch leer ist.", "Meine Schwester fand im Keller eine Kiste mit Briefen, die niemand je gelesen hatte.", "Wegen der Baustelle fährt die Linie {n} heute nur bis zum Rathaus, danach hält ein Bus.",
+    "Ein Kilo Mehl, etwas Hefe und viel Geduld, mehr braucht man für ein gutes Brot nicht.", "Nach dem Regen stand das Wasser in den Feldern, und die Bauern konnten nicht ernten.", "Die Kinder sammelten Kastanien, während der Lehrer den Namen jedes Baums erklärte.",
+    "She asked whether the river, which had been low all summer, would ever carry boats again.", "If you mix the two powders with warm water, the paste will set within an hour.",
+)
+
+
 def _prose(r: random.Random) -> str:
-    lang = r.choice(["en", "en", "en", "de", "fr", "es"])
+    kind = r.random()
+    if kind < 0.06:
+        return r.choice(REMARKS)
+    if kind < 0.22:
+        text = " ".join(s.format(n=r.randint(2, 400)) for s in r.choices(OTHER_DOMAINS, k=r.choice([1, 1, 2, 4])))
+        return text.upper() if r.random() < 0.15 else text
+    lang = r.choice(["en", "en", "en", "de", "de", "fr", "es"])
     text = " ".join(s.format(a=r.choice(NOUNS), b=r.choice(NOUNS), n=r.randint(2, 400)) for s in r.choices(SENTENCES[lang], k=r.choice([1, 1, 2, 3, 5, 9])))
     if r.random() < 0.3:
         width, line, out = r.choice([40, 60, 76]), "", []
@@ -90,9 +113,14 @@ def _other(r: random.Random) -> str:
     w = lambda k=1: [r.choice(NOUNS) for _ in range(k)]
     n = lambda: r.randint(0, 9999)
     rows = r.choice([1, 3, 6, 12, 25])
+    common = r.sample("the of and to in is was it that for with as at by from on are this be or an a we they he not but have".split(), 20)
     line = {
+        "words": lambda: " ".join(r.choices(common, k=r.randint(7, 16))) + r.choice(["", "."]),
+        "mixed": lambda: " ".join(r.choice([r.choice(common), r.choice(NOUNS), r.choice(common)]) for _ in range(r.randint(9, 16))) + r.choice(["", "."]),
+        "menu": lambda: r.choice([" ", " | ", "  ", " · "]).join(r.choice("Home About Contact Careers Privacy Help Login Products Support Blog Docs News Pricing Search Terms Settings Account Logout Us Our Team".split()) for _ in range(r.randint(5, 12))),
+        "query": lambda: r.choice([f"SELECT {w()[0]}, b.{w()[0]} FROM {w()[0]} a JOIN {w()[0]} b ON a.id = b.id WHERE a.{w()[0]} = {n()};", f"update {w()[0]} set {w()[0]} = {n()} where {w()[0]} is not null", f"INSERT INTO {w()[0]} ({w()[0]}, {w()[0]}) VALUES ({n()}, '{w()[0]}');"]),
         "salad": lambda: " ".join(w(r.randint(5, 11))).capitalize() + r.choice([".", ".", "!"]),
-        "list": lambda: r.choice(["- ", "* ", "• ", "[ ] ", "1. ", ""]) + " ".join(w(2)) + r.choice(["", f" ({n()})"]),
+        "list": lambda: r.choice(["- ", "* ", "• ", "[ ] ", "1. ", "" if rows > 2 else "- "]) + " ".join(w(2)) + r.choice(["", f" ({n()})"]),
         "comma": lambda: ", ".join(w(r.randint(6, 14))),
         "crumbs": lambda: " > ".join(x.capitalize() for x in w(r.randint(3, 6))),
         "table": lambda: "| " + " | ".join([*w(2), str(n()), f"{n() / 100}"]) + " |",

@@ -73,6 +73,16 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> Rule:
     return best
 
 
+def _merged(rule: Rule) -> Rule:
+    """The same rule with the strictest test per feature and direction."""
+    strict: dict[tuple[str, bool], Test] = {}
+    for t in rule:
+        old = strict.get((t.feature, t.above))
+        if old is None or (t.value > old.value) == t.above:
+            strict[t.feature, t.above] = t
+    return tuple(strict.values())
+
+
 def induce(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 7, cuts: int = 40, speaks_for: dict[str, bool] | None = None) -> list[Rule]:
     """Rules for the rows where y holds, first match decides; rows that no rule covers are the other class.
 
@@ -93,7 +103,7 @@ def induce(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 7, cuts: int = 4
         part = lambda idx: {f: v[idx] for f, v in x.items()}
         if not y[grow].any():
             break
-        rule = _prune(_grow(part(grow), y[grow], cuts, speaks_for or {}), part(prune), y[prune])
+        rule = _merged(_prune(_grow(part(grow), y[grow], cuts, speaks_for or {}), part(prune), y[prune]))
         hit = covers(rule, part(prune))
         if not rule or (hit & ~y[prune]).sum() >= max(1, (hit & y[prune]).sum()):
             break
