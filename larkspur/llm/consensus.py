@@ -1,7 +1,8 @@
 """Consensus of several annotators by triplet moments.
 
 Scores are standardised per annotator and criterion, so steady strictness or mildness drops
-out and the mean product of two annotators' scores is their agreement corrected for chance.
+out and the mean product of two annotators' scores is their agreement corrected for chance: of scores with equal
+margins it is Cohen's kappa with squared distances, 0 for agreement by chance and 1 for full agreement.
 If scores depend on a common quality, the agreement of annotators i and j is ``a_i * a_j``
 with a = their accuracies, so any triplet solves for each: ``a_i^2 = m_ij * m_ik / m_jk``.
 With many annotators a pair shares few items; j and k are therefore two of three random
@@ -19,10 +20,8 @@ from pyspark.sql import functions as F
 CRITERIA = ("correctness", "usefulness", "clarity")
 #: Divisions of the annotators into thirds.
 DIVISIONS = 5
-#: Accuracies below this are no better than noise or answer backwards (they lie near 0 or -0.9, sound ones over 0.8).
-RELIABLE = 0.5
-#: Items with votes of both other thirds that an estimate must rest on.
-LEAST_ITEMS = 8
+#: Standard errors by which an estimate must lie below that of the median annotator to count as unreliable.
+ERRORS = 2.0
 
 
 def ratings(sheet: DataFrame, criteria: Sequence[str] = CRITERIA, low: int = 1, high: int = 5) -> DataFrame:
@@ -50,8 +49,11 @@ def standardised(scores: DataFrame) -> DataFrame:
     return scores.join(stats, ["rater", "criterion"]).withColumn("z", z).drop("_m", "_s")
 
 
-def accuracies(scores: DataFrame, divisions: int = DIVISIONS, least_items: int = LEAST_ITEMS) -> DataFrame:
-    """(rater, criterion, n_scores, accuracy): accuracy is -1..1, null where too few items allow an estimate."""
+def accuracies(scores: DataFrame, divisions: int = DIVISIONS) -> DataFrame:
+    """(rater, criterion, n_scores, accuracy, standard_error): accuracy is -1..1, null only where no item has votes of both other thirds.
+
+    The standard error is that of the mean agreement with the others over the annotator's items, in units of accuracy; null with one item.
+    """
     z = standardised(scores)
     sums = []
     for d in range(divisions):
@@ -78,18 +80,28 @@ def accuracies(scores: DataFrame, divisions: int = DIVISIONS, least_items: int =
         total(lambda m: F.col("z") * m["b"]).alias("rb"), total(lambda m: m["a"] * m["b"]).alias("ab"),
     )
     solved = row.groupBy("rater", "criterion").agg(
-        F.count(F.lit(1)).alias("n_scores"), F.sum("k").alias("k"), F.sum("ra").alias("ra"), F.sum("rb").alias("rb"), F.sum("ab").alias("ab")
-    )
-    size = F.sqrt(F.abs(F.col("ra") * F.col("rb"))) / F.col("k")
-    common = F.sqrt(F.greatest(F.col("ab") / F.col("k"), F.lit(1e-6)))
+        F.count(F.lit(1)).alias("n_scores"), F.sum("k").alias("k"), F.sum("ra").alias("ra"), F.sum("rb").alias("rb"), F.sum("ab").alias("ab"),
+        F.count_if(F.col("k") > 0).alias("n"), F.stddev_samp(F.when(F.col("k") > 0, (F.col("ra") + F.col("rb")) / (2 * F.col("k")))).alias("spread"),
+    )
+    k = F.nullif(F.col("k"), F.lit(0))
+    size = F.sqrt(F.abs(F.col("ra") * F.col("rb"))) / k
+    common = F.sqrt(F.greatest(F.col("ab") / k, F.lit(1e-6)))
     signed = F.signum(F.col("ra") + F.col("rb")) * size / common
-    enough = F.col("k") >= least_items * divisions
-    return solved.select("rater", "criterion", "n_scores", F.when(enough, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), signed))).alias("accuracy"))
+    return solved.select(
+        "rater", "criterion", "n_scores", F.when(k.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), signed))).alias("accuracy"), (F.col("spread") / F.sqrt(F.col("n").cast("double")) / common).alias("standard_error")
+    )
+
 
+def unreliable(sheet: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """(rater, criterion) whose scores do not follow the items' quality or run against it.
 
-def unreliable(sheet: DataFrame, below: float = RELIABLE) -> DataFrame:
-    """(rater, criterion) whose scores do not follow the items' quality or run against it."""
-    return accuracies(ratings(sheet)).filter(F.col("accuracy") < below).select("rater", "criterion")
+    These are nearer to answering by chance (0) than to the median annotator of the criterion, and below the latter by more than `errors` standard
+    errors, so an annotator with few items is not called unreliable for bad luck.
+    """
+    acc = accuracies(ratings(sheet)).filter("accuracy is not null")
+    usual = acc.groupBy("criterion").agg(F.percentile_approx("accuracy", 0.5, 10_000).alias("usual"))  # one row per criterion
+    below = (F.col("accuracy") < F.col("usual") / 2) & (F.col("accuracy") + errors * F.coalesce("standard_error", F.lit(1.0)) < F.col("usual"))
+    return acc.join(F.broadcast(usual), "criterion").filter(below).select("rater", "criterion")
 
 
 def consensus(sheet: DataFrame) -> DataFrame:
