@@ -45,16 +45,17 @@ RULES: list[Rule] = [
 ]
 
 
-PLAIN = r"(?<!\S)[\"'“«(¿¡]*(?:I|A|\d{1,4}|\d\p{L}|\p{L}{1,2}[=<>]\d[\d.,]*|\p{Lu}?[\p{Ll}’']+(?:-\p{L}+)?|(?=[.,;:!?…)]))[.,;:!?…)\"'”»]*(?!\S)"
+PLAIN = r"(?<!\S)[\"'“«(¿¡]*(?:I|A|\d{1,4}|\p{Lu}?[\p{Ll}’']+(?:-\p{L}+)?|(?=[.,;:!?…)])|\d\p{L}|\p{L}{1,2}[=<>]\d[\d.,]*)[.,;:!?…)\"'”»]*(?!\S)"
 
 
 #: One line of one to four words with the marks that end or part sentences and nothing else (but a smiley).
 REMARK = r"^\s*(?:\p{L}[\p{L}'’]{0,19}[.,!?…;:]*\s+){0,3}\p{L}[\p{L}'’]{0,19}\s*[.!?…]*(?:\s*(?:[:;]-?[)(D]|\p{So}+))?\s*$"
 #: Three or more capitalised words in a row, as in menus and titles.
-CAPITAL_RUN = r"(?:\p{Lu}\p{Ll}+[ |·>/]+){2,}\p{Lu}\p{Ll}+"
+CAPITAL_RUN = r"\p{Lu}\p{Ll}++(?:[ |·>/]++\p{Lu}\p{Ll}++){2,}+"
 #: Determiners, and words that none of them stands before in a sentence (fixed values): words in a row without grammar have such pairs.
 DETERMINERS = "the|a|an|my|your|our|their|its|der|den|dem|ein|eine|einen|le|un|une|el|los|una"
 NEVER_AFTER = "the|a|an|of|to|in|is|was|and|or|at|by|for|with|that|it|he|we|they|be|are|were|from|than|if|der|den|und|ist|war|von|zu|mit|le|du|et|est|pour|el|y|es|por"
+BROKEN = r"\b(?=[" + "".join(sorted({w[0] for w in DETERMINERS.split("|")})) + rf"])(?:{DETERMINERS}) (?=[" + "".join(sorted({w[0] for w in NEVER_AFTER.split("|")})) + rf"])(?:{NEVER_AFTER})\b"
 
 
 def _share(part: str, whole: str) -> Column:
@@ -70,12 +71,12 @@ def paragraph_statistics(df: DataFrame, text: str) -> DataFrame:
     counted = lambda pattern: F.regexp_count(F.col("_t"), F.lit(pattern))
     df = df.withColumn("_t", F.regexp_replace(F.col(text), r"(?<!`)`[^`\n]+(?:\n[^`\n]+)?`(?!`)", ""))
     # what is written in capitals throughout is read like the rest
-    shouted = counted(r"\p{Lu}") * 10 > counted(r"\p{L}") * 7
-    df = df.withColumn("_t", F.when(shouted & (counted(r"\p{L}") >= 12), F.lower("_t")).otherwise(F.col("_t")))
+    df = df.withColumn("_l", F.lower("_t"))
+    df = df.withColumn("_t", F.when((F.length("_t") >= 12) & (F.col("_t") == F.upper("_t")), F.col("_l")).otherwise(F.col("_t")))
     df = df.withColumns({
-        "_words": F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}+"), F.lit(0)), "_tokens": counted(r"\S+"), "_plain": counted(PLAIN),
+        "_words": F.regexp_extract_all("_l", F.lit(r"\p{L}+"), F.lit(0)), "_tokens": counted(r"\S+"), "_plain": counted(PLAIN),
         "_chars": counted(r"\S"), "_digits": counted(r"\p{N}"), "_symbols": counted(SYMBOLS),
-        "_broken": counted(rf"(?i)\b(?:{DETERMINERS}) (?:{NEVER_AFTER})\b"), "_capitals": F.length(F.array_join(F.regexp_extract_all("_t", F.lit(CAPITAL_RUN), F.lit(0)), "")),
+        "_broken": F.regexp_count("_l", F.lit(BROKEN)), "_capitals": F.length(F.array_join(F.regexp_extract_all("_t", F.lit(CAPITAL_RUN), F.lit(0)), "")),
         "_lines": F.regexp_count(F.col(text), F.lit(r"(?m)^.*\S")), "_ends": F.regexp_count(F.col(text), F.lit(ENDS)),
     })
     df = df.withColumns({
@@ -86,8 +87,8 @@ def paragraph_statistics(df: DataFrame, text: str) -> DataFrame:
         "plain_share": _share("_plain", "_tokens"), "digit_share": _share("_digits", "_chars"), "symbol_share": _share("_symbols", "_chars"),
         "end_share": _share("_ends", "_lines"), "words_per_line": _share("_n", "_lines"),
         "broken_share": _share("_broken", "_n"), "capital_share": _share("_capitals", "_chars"),
-        "remark": F.col(text).rlike(REMARK).cast("double"),
-    }).drop("_broken", "_capitals", "_t", "_words", "_tokens", "_plain", "_chars", "_digits", "_symbols", "_lines", "_ends", "_n", "_letters", "_common")
+        "remark": F.when(F.length(text) < 120, F.col(text).rlike(REMARK).cast("double")).otherwise(F.lit(0.0)),
+    }).drop("_broken", "_capitals", "_t", "_l", "_words", "_tokens", "_plain", "_chars", "_digits", "_symbols", "_lines", "_ends", "_n", "_letters", "_common")
 
 
 FEATURES = ("n_words", "mean_word", "common_share", "plain_share", "digit_share", "symbol_share", "end_share", "words_per_line", "broken_share", "capital_share", "remark")
