@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 REACH = 2
 #: Bundle -> (fields, attribute that must agree, bundle it must agree with or None). The first one leads.
 BUNDLES = {
-    "lead": (("message", "title", "rationale", "ai_note", "confidence", "reported_at", "status"), "category", None),
+    "lead": (("message", "title", "rationale", "ai_note", "status"), "category", None),
     "label": (("category", "severity", "cwe", "rule_id"), "category", "lead"),
     "place": (("start_line", "end_line", "start_column", "end_column"), "start_line", None),
     "proof": (("evidence", "suggestion"), "start_line", "place"),
@@ -56,13 +56,13 @@ def candidates(findings: DataFrame) -> DataFrame:
     Rows with a null id, repository, path, key or line belong to no issue.
     """
     needed = [f for fields, *_ in BUNDLES.values() for f in fields]
-    wanted = list(dict.fromkeys(["loaded_at", "finding_id", *KEYS, "sources", "verified_by", *needed]))
+    wanted = list(dict.fromkeys(["loaded_at", "finding_id", *KEYS, "sources", "verified_by", "confidence", "reported_at", *needed]))
     keyed = findings.select(*wanted).filter(" and ".join(f"{c} is not null" for c in ("finding_id", *KEYS, "start_line")))
     # equal loading times: the larger record, field by field, so the choice is repeatable
     latest = keyed.groupBy("finding_id").agg(F.max(F.struct("loaded_at", *[c for c in wanted if c not in ("loaded_at", "finding_id")])).alias("r"))
     rows = latest.select("finding_id", "r.*")
     rows = rows.withColumns({
-        "confidence": unit_confidence(F.col("confidence")), "_names": clean_sources(F.col("sources")), "_ok": usable_message(F.col("message")),
+        "confidence": unit_confidence(F.col("confidence")), "_names": clean_sources(F.col("sources")), "_ok": usable_message(F.col("message")), "_verifiers": clean_sources(F.col("verified_by")),
     })
     rank = {
         "lead": (F.col("_ok"), F.size("_names"), F.coalesce("confidence", F.lit(-1.0)), F.coalesce("reported_at", F.lit("0001-01-01").cast("timestamp_ntz")), -F.col("finding_id")),
@@ -74,7 +74,7 @@ def candidates(findings: DataFrame) -> DataFrame:
         record = F.to_json(F.struct(*fields))
         best.append(F.max(F.struct(order.alias("trust"), F.col("finding_id").alias("id"), record.alias("record"))).alias(name))
     lines = rows.groupBy(*KEYS, "start_line", "category").agg(
-        F.min("finding_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.collect_set("_names").alias("_names"), *best
+        F.min("finding_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.collect_set("_names").alias("_names"), F.collect_set("_verifiers").alias("_verifiers"), F.max("confidence").alias("confidence"), F.max("reported_at").alias("reported_at"), *best
     )
     order = Window.partitionBy(*KEYS).orderBy("start_line")
     before = F.max("start_line").over(order.rangeBetween(Window.unboundedPreceding, -1))
@@ -83,7 +83,8 @@ def candidates(findings: DataFrame) -> DataFrame:
     entry = lambda name: F.collect_list(F.struct(F.col(f"{name}.trust").alias("trust"), F.col(f"{name}.id").alias("id"), F.coalesce(F.col(BUNDLES[name][1]).cast("string"), F.lit("")).alias("agrees"), F.col(f"{name}.record").alias("record"))).alias(name)  # noqa: E731, E501
     return issues.groupBy(*KEYS, "_issue").agg(
         F.min("first_id").alias("first_id"), F.sum("n").alias("n_records"),
-        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("_names"))))).alias("sources"), *[entry(b) for b in BUNDLES],
+        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("_names"))))).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("_verifiers"))))).alias("verified_by"),
+        F.max("confidence").alias("confidence"), F.max("reported_at").alias("reported_at"), *[entry(b) for b in BUNDLES],
     ).filter("n_records > 1").drop("_issue")
 
 
@@ -117,7 +118,9 @@ def choose(bundles: list[list[tuple[float, str]]], partner: list[int]) -> list[i
 
 
 def survivors(findings: DataFrame) -> DataFrame:
-    """(repository, file_path, issue_key, first_id, best_id, n_records, sources, and per bundle its record as JSON and the id it is from).
+    """(repository, file_path, issue_key, first_id, best_id, n_records, sources, verified_by, confidence, reported_at, and per bundle its record as JSON and the id it is from).
+
+    Fields that depend on no other hold the best that any record offers: all sources and verifiers, the highest confidence, the latest report.
 
     Trust of the lead, the record as a whole: usable message, distinct sources, confidence, later report, smaller id. It
     outweighs every other bundle, so best_id is the first of the issue's records in that order; other bundles
@@ -127,7 +130,7 @@ def survivors(findings: DataFrame) -> DataFrame:
     index = {n: i for i, n in enumerate(names)}
     partner = [index[BUNDLES[n][2]] if BUNDLES[n][2] else -1 for n in names]
     issues = candidates(findings)
-    out = "repository string, file_path string, issue_key string, first_id bigint, best_id bigint, n_records bigint, sources array<string>, " + ", ".join(
+    out = "repository string, file_path string, issue_key string, first_id bigint, best_id bigint, n_records bigint, sources array<string>, verified_by array<string>, confidence double, reported_at timestamp_ntz, " + ", ".join(
         f"{n}_from bigint, {n}_record string" for n in names
     )
 
@@ -142,11 +145,12 @@ def survivors(findings: DataFrame) -> DataFrame:
                 weighed = [[((1000.0 if i == 0 else 1.0) * (len(c) - j), e["agrees"]) for j, e in enumerate(c)] for i, c in enumerate(lists)]
                 taken = choose(weighed, partner)
                 chosen = [lists[i][j] if j >= 0 else None for i, j in enumerate(taken)]
-                row = [r.repository, r.file_path, r.issue_key, r.first_id, chosen[0]["id"], r.n_records, list(r.sources)]
+                row = [r.repository, r.file_path, r.issue_key, r.first_id, chosen[0]["id"], r.n_records, list(r.sources), list(r.verified_by), r.confidence, r.reported_at]
                 for c in chosen:
                     row += [c["id"] if c else None, c["record"] if c else None]
                 rows.append(row)
             frame = pd.DataFrame(rows, columns=[p.split()[0] for p in out.split(", ")])
+            frame = frame.astype({"confidence": "float64", "reported_at": "datetime64[us]"})
             for n in names:
                 frame[f"{n}_from"] = frame[f"{n}_from"].astype("Int64")
             yield frame
