@@ -54,9 +54,9 @@ def reported(findings: DataFrame) -> DataFrame:
 def headline_counts(findings: DataFrame, by: str = "repository") -> DataFrame:
     """Reported findings in all, by severity and by category in one pass; counts are ordered by rank: n descending, first seen."""
     rows = reported(findings)
-    sets = rows.cube(by, "severity", "category").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_seen"), F.grouping_id().alias("g"))
-    which = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "severity").when(F.col("g") == 2, "category")
-    kept = sets.withColumn("dimension", which).filter("dimension is not null")
+    wanted = [[by], [by, "severity"], [by, "category"]]
+    sets = rows.groupingSets([[F.col(c) for c in s] for s in wanted], F.col(by), F.col("severity"), F.col("category")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_seen"), F.grouping_id().alias("g"))
+    kept = sets.withColumn("dimension", F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "severity").otherwise("category"))
     place = F.row_number().over(Window.partitionBy(by, "dimension").orderBy(F.desc("n"), "first_seen"))
     return kept.select(by, "dimension", F.coalesce("severity", "category", F.lit("")).alias("value"), "n", place.alias("place"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -18,13 +19,16 @@ BROADCAST_ROWS = 200_000
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it back with no lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session with no such setting (a test on one machine) gets a temporary one.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    session with no such setting (a test on one machine) gets a temporary one; on a cluster its absence is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larkspur-"))
     return df.checkpoint(eager)
 
 
@@ -90,26 +94,30 @@ def grouped(df: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.Da
 
     One Python call handles many small keys of a batch, which a grouped map pays for one by one.
     """
-    columns = list(df.columns)
+
+    def same(a: pd.Series, b: pd.Series) -> bool:
+        return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # the stretches of the key that is not over; each is copied once, when it is
         for batch in batches:
             if not len(batch):
                 continue
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            change = pd.Series(False, index=rows.index)
+            change = pd.Series(False, index=batch.index)
             for k in keys:
-                change |= rows[k].ne(rows[k].shift()) & ~(rows[k].isna() & rows[k].shift().isna())
-            starts = [*rows.index[change.to_numpy()], len(rows)]
-            if starts[0] != 0:
-                starts.insert(0, 0)
-            done = [fold(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts[:-2], starts[1:-1])]
-            rest = rows.iloc[starts[-2] :].reset_index(drop=True)
+                change |= batch[k].ne(batch[k].shift()) & ~(batch[k].isna() & batch[k].shift().isna())
+            starts = sorted({0, *change.to_numpy().nonzero()[0].tolist()})
+            done = []
+            for a, b in zip(starts, [*starts[1:], len(batch)]):
+                piece = batch.iloc[a:b]
+                if held and not same(held[-1][keys].iloc[-1], piece[keys].iloc[0]):
+                    done.append(fold(pd.concat(held, ignore_index=True)))
+                    held = []
+                held.append(piece)
             if done:
                 yield _plain(pd.concat(done, ignore_index=True))
-        if rest is not None:
-            yield _plain(fold(rest[columns]))
+        if held:
+            yield _plain(fold(pd.concat(held, ignore_index=True)))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
