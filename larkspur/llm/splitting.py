@@ -8,6 +8,7 @@ valley between any two lines. Every piece then shows lines of its predecessor an
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -126,16 +127,34 @@ def _change(c: str) -> int:
 def valleys(lines: list[str], block: int = BLOCK) -> np.ndarray:
     """Per line, how deep the similarity of the blocks before and after it lies below the peaks on both sides; 0 at the first."""
     n = len(lines)
-    counts = np.zeros((n + 1, _BUCKETS), dtype=np.float32)
-    for i, s in enumerate(lines):
-        for w in _WORD.findall(s):
-            counts[i + 1, zlib.crc32(w.lower().encode()) % _BUCKETS] += 1
-    total = counts.cumsum(axis=0)
-    at = np.arange(n)
-    before = total[at] - total[np.maximum(at - block, 0)]
-    after = total[np.minimum(at + block, n)] - total[at]
-    norm = np.sqrt((before**2).sum(1) * (after**2).sum(1))
-    sim = np.divide((before * after).sum(1), norm, out=np.zeros(n, dtype=np.float32), where=norm > 0)
+    words = [[zlib.crc32(w.lower().encode()) % _BUCKETS for w in _WORD.findall(s)] for s in lines]
+    sim = np.zeros(n, dtype=np.float64)
+    # two blocks of word counts slide over the lines, so memory does not grow with them: their product and squared lengths change word by word
+    before, after = [0] * _BUCKETS, [0] * _BUCKETS
+    dot = far = near = 0
+    for line in words[:block]:
+        for w in line:
+            near += 2 * after[w] + 1
+            after[w] += 1
+    for i in range(n):
+        if dot:
+            sim[i] = dot / math.sqrt(far * near)
+        for w in words[i]:
+            after[w] -= 1
+            dot += after[w] - before[w]  # leaves the one and enters the other
+            near -= 2 * after[w] + 1
+            far += 2 * before[w] + 1
+            before[w] += 1
+        if i + block < n:
+            for w in words[i + block]:
+                dot += before[w]
+                near += 2 * after[w] + 1
+                after[w] += 1
+        if i >= block:
+            for w in words[i - block]:
+                before[w] -= 1
+                dot -= after[w]
+                far -= 2 * before[w] + 1
     left = np.maximum.accumulate(sim)
     right = np.maximum.accumulate(sim[::-1])[::-1]
     # peaks within the reach of a few blocks count, not those at the other end of the chunk
