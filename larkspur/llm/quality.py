@@ -26,7 +26,8 @@ COMMON = (
 ).split()
 #: Sentence ends.
 ENDS = r"(?m)[.!?…:][\"'”’)»\]]*[^\S\n]*$"
-SYMBOLS = r"[^\p{L}\p{N}\s.,;:!?'\"’“”«»()…¿¡-]"
+#: Runs of characters that are no symbols.
+NO_SYMBOLS = r"[\p{L}\p{N}\s.,;:!?'\"’“”«»()…¿¡-]+"
 
 #: Induced by `quality_training.train()` (see there): prose if a rule covers the paragraph.
 RULES: list[Rule] = [
@@ -58,6 +59,11 @@ NEVER_AFTER = "the|a|an|of|to|in|is|was|and|or|at|by|for|with|that|it|he|we|they
 BROKEN = r"\b(?=[" + "".join(sorted({w[0] for w in DETERMINERS.split("|")})) + rf"])(?:{DETERMINERS}) (?=[" + "".join(sorted({w[0] for w in NEVER_AFTER.split("|")})) + rf"])(?:{NEVER_AFTER})\b"
 
 
+def _left(text: str, pattern: str) -> Column:
+    """How many characters are left without the runs of a pattern: far fewer matches than one per character."""
+    return F.length(F.regexp_replace(text, pattern, ""))
+
+
 def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.col(part).cast("double") / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0))
 
@@ -75,7 +81,7 @@ def paragraph_statistics(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_t", F.when((F.length("_t") >= 12) & (F.col("_t") == F.upper("_t")), F.col("_l")).otherwise(F.col("_t")))
     df = df.withColumns({
         "_words": F.regexp_extract_all("_l", F.lit(r"\p{L}+"), F.lit(0)), "_tokens": counted(r"\S+"), "_plain": counted(PLAIN),
-        "_chars": counted(r"\S"), "_digits": counted(r"\p{N}"), "_symbols": counted(SYMBOLS),
+        "_chars": _left("_t", r"\s+"), "_digits": _left("_t", r"\P{N}+"), "_symbols": _left("_t", NO_SYMBOLS),
         "_broken": F.regexp_count("_l", F.lit(BROKEN)), "_capitals": F.length(F.array_join(F.regexp_extract_all("_t", F.lit(CAPITAL_RUN), F.lit(0)), "")),
         "_lines": F.regexp_count(F.col(text), F.lit(r"(?m)^.*\S")), "_ends": F.regexp_count(F.col(text), F.lit(ENDS)),
     })
@@ -103,7 +109,7 @@ def statistics(documents: DataFrame, rules: list[Rule] | None = None) -> DataFra
     rows = documents.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r?\n(?:[^\S\n]*\r?\n)+"), lambda p: ~p.rlike(r"^(?U)\s*$"))
     long = rows.select("doc_id", "_row", F.explode_outer(parts).alias("p"))
-    wide = paragraph_statistics(long, "p").withColumn("c", F.regexp_count("p", F.lit(r"\S")))
+    wide = paragraph_statistics(long, "p").withColumn("c", _left("p", r"\s+"))
     judged = wide.withColumn("prose", F.expr(case(RULES if rules is None else rules)))
     weight = F.nullif(F.sum("c"), F.lit(0))
     means = [F.coalesce(F.sum(F.col(f) * F.col("c")) / weight, F.lit(0.0)).alias(f) for f in FEATURES if f != "n_words"]
